@@ -44,6 +44,16 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("src") != F.col("dst")).distinct()
 
 
+def _only_stars(pairs: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has a parent."""
+    ends = F.array(
+        F.struct(F.col("src").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("dst").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )
+    roles = pairs.select(F.inline(ends)).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """node, comp: the smallest node id of the component; isolated nodes keep their own.
 
@@ -52,14 +62,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> Data
     """
     scratch = Scratch(edges.sparkSession, "components")
     pairs = scratch.table(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "r0")
-    before = None
     for i in range(1, max_rounds + 1):
         pairs = scratch.table(_stars(_stars(pairs, large=True), large=False), f"r{i}")
-        mark = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst") % 1_000_000_007)).first()
         scratch.drop(f"r{i - 1}")
-        if mark == before:
+        if _only_stars(pairs):
             break
-        before = mark
     else:
         raise NotConverged(f"components after {max_rounds} rounds")
     return (
@@ -72,34 +79,27 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> Data
 def pagerank(nodes: DataFrame, arcs: DataFrame, d: float = 0.85, rounds: int = 10) -> DataFrame:
     """node, rank after fixed rounds over arcs (src, dst); ranks sum to 1.
 
-    A node without arcs out sends its rank to a null target. One aggregation per round
-    therefore yields the incoming sums and the dangling mass together.
+    The rank of nodes without arcs out is spread evenly; its sum is a scalar subquery on the
+    table of the round before.
     """
     scratch = Scratch(nodes.sparkSession, "pagerank")
-    nodes = scratch.table(nodes.select("node").distinct(), "nodes")
     arcs = scratch.table(arcs.select("src", "dst"), "arcs")
-    n = nodes.count()
-    out = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("out")).withColumnRenamed("src", "node")
-    ranks = scratch.table(
-        nodes.join(out, "node", "left").select("node", F.col("out"), F.lit(1.0 / n).alias("rank")), "r0"
-    )
+    out = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out"))
+    start = scratch.table(nodes.select("node").distinct().join(out, "node", "left"), "nodes")
+    n = start.count()
+    ranks = start.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, rounds + 1):
-        sent = (
+        lost = F.coalesce(ranks.where(F.col("out").isNull()).agg(F.sum("rank")).scalar(), F.lit(0.0))
+        got = (
             ranks.where(F.col("out").isNotNull())
-            .join(arcs.withColumnRenamed("src", "node"), "node")
-            .select("dst", (F.col("rank") / F.col("out")).alias("m"))
-            .unionByName(ranks.where(F.col("out").isNull()).select(F.lit(None).cast(arcs.schema["dst"].dataType).alias("dst"), F.col("rank").alias("m")))
-        )
-        got = scratch.table(sent.groupBy("dst").agg(F.sum("m").alias("m")), f"got{i}")
-        lost = F.coalesce(got.where("dst IS NULL").select("m").scalar(), F.lit(0.0))
-        ranks = scratch.table(
-            ranks.select("node", "out")
-            .join(got.where("dst IS NOT NULL").withColumnRenamed("dst", "node"), "node", "left")
-            .select("node", "out", (F.lit((1 - d) / n) + F.lit(d) * (F.coalesce("m", F.lit(0.0)) + lost / F.lit(n))).alias("rank")),
-            f"r{i}",
+            .select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("m"))
+            .join(arcs, "src")
+            .groupBy(F.col("dst").alias("node")).agg(F.sum("m").alias("m"))
         )
-        scratch.drop(f"r{i - 1}")
-        scratch.drop(f"got{i}")
+        rank = F.lit((1 - d) / n) + F.lit(d) * (F.coalesce("m", F.lit(0.0)) + lost / F.lit(n))
+        ranks = scratch.table(start.join(got, "node", "left").select("node", "out", rank.alias("rank")), f"r{i}")
+        if i > 1:
+            scratch.drop(f"r{i - 1}")
     return ranks.select("node", "rank")
 
 
@@ -244,11 +244,27 @@ def k_core(edges: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
     raise NotConverged(f"k_core after {max_rounds} rounds")
 
 
+def _roots(scratch: Scratch, pointers: DataFrame, name: str, max_rounds: int) -> DataFrame:
+    """comp, root for pointers comp -> to whose only cycles are mutual pairs."""
+    on = pointers.select(F.col("comp").alias("to"), F.col("to").alias("next"))
+    root = F.when(F.col("next") == F.col("comp"), F.least("comp", "to")).otherwise(F.col("to"))
+    jumps = scratch.table(pointers.join(on, "to").select("comp", root.alias("root")), f"{name}-j0")
+    for i in range(1, max_rounds + 1):
+        on = jumps.select(F.col("comp").alias("root"), F.col("root").alias("next"))
+        ahead = jumps.join(on, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+        jumps = scratch.table(ahead, f"{name}-j{i}")
+        if jumps.where("moved").isEmpty():
+            return jumps.select("comp", "root")
+        jumps = jumps.select("comp", "root")
+    raise NotConverged(f"pointer jumping after {max_rounds} rounds")
+
+
 def spanning_forest(nodes: DataFrame, edges: DataFrame, weight: str = "w", max_rounds: int = 40) -> DataFrame:
     """Maximum-weight spanning forest by Boruvka rounds; ties by (src, dst).
 
-    Each round adds the best edge out of every component, then merges the components those
-    edges link; the number of components at least halves where an edge is left.
+    Each round every component takes its best edge out. The order of edges is total, so the
+    takes form trees with one mutual pair each; pointer jumping finds the roots. The number
+    of components with an edge out at least halves per round.
     """
     scratch = Scratch(edges.sparkSession, "forest")
     comp = scratch.table(nodes.select("node", F.col("node").alias("comp")).distinct(), "c0")
@@ -261,24 +277,23 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, weight: str = "w", max_r
         left = scratch.table(
             left.select("src", "dst", weight).join(ca, "src").join(cb, "dst").where(F.col("ca") != F.col("cb")), f"e{i}"
         )
-        pick = F.struct((-F.col(weight)).alias("neg"), "src", "dst", weight, "ca", "cb")
-        best = scratch.table(
-            left.select(F.explode(F.array("ca", "cb")).alias("comp"), pick.alias("p"))
-            .groupBy("comp").agg(F.min("p").alias("p"))
-            .select("p.src", "p.dst", f"p.{weight}", "p.ca", "p.cb").distinct(),
-            f"b{i}",
+        edge = F.struct((-F.col(weight)).alias("neg"), "src", "dst", weight)
+        offers = F.array(
+            F.struct(F.col("ca").alias("comp"), F.col("cb").alias("to"), edge.alias("e")),
+            F.struct(F.col("cb").alias("comp"), F.col("ca").alias("to"), edge.alias("e")),
+        )
+        taken = scratch.table(
+            left.select(F.inline(offers)).groupBy("comp").agg(F.min(F.struct("e", "to")).alias("p"))
+            .select("comp", F.col("p.to").alias("to"), "p.e.src", "p.e.dst", f"p.e.{weight}"),
+            f"t{i}",
         )
-        if best.isEmpty():
+        if taken.isEmpty():
             break
-        chosen = best.select("src", "dst", weight)
+        chosen = taken.select("src", "dst", weight).distinct()
         forest = chosen if forest is None else forest.unionByName(chosen)
-        merged = components(
-            comp.select(F.col("comp").alias("node")).distinct(), best.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        )
+        roots = _roots(scratch, taken.select("comp", "to"), f"t{i}", max_rounds)
         comp = scratch.table(
-            comp.join(merged.withColumnRenamed("comp", "root").withColumnRenamed("node", "comp"), "comp")
-            .select("node", F.col("root").alias("comp")),
-            f"c{i}",
+            comp.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), f"c{i}"
         )
         scratch.drop(f"c{i - 1}")
         scratch.drop(f"e{i - 1}")

@@ -384,7 +384,8 @@ def quotient(spark, folder):
 
 @query
 def k_core(spark, folder):
-    return G.k_core(maps.neighbour_map(spark, folder)[2], 6)
+    """The 3-core of the mutual neighbours."""
+    return G.k_core(V.mutual(maps.neighbour_map(spark, folder)[1]), 3)
 
 
 @query

@@ -285,11 +285,11 @@ sql("modularity", *GRAPH, LABELLED,
 sql("quotient", *GRAPH, LABELLED, final="""SELECT least(la, lb) AS src, greatest(la, lb) AS dst, count(*) AS n, sum(w)::BIGINT AS w
 FROM le GROUP BY 1, 2""")
 CORE_ROUNDS = 15
-ROUNDS = ["k0 AS (SELECT src, dst, w FROM edges)"]
+ROUNDS = [MUTUAL, "k0 AS (SELECT src, dst, sim FROM mutual)"]
 for i in range(1, CORE_ROUNDS + 1):
-    ROUNDS.append(f"d{i} AS MATERIALIZED (SELECT node FROM (SELECT src AS node FROM k{i - 1} UNION ALL SELECT dst FROM k{i - 1}) GROUP BY 1 HAVING count(*) >= 6)")
+    ROUNDS.append(f"d{i} AS MATERIALIZED (SELECT node FROM (SELECT src AS node FROM k{i - 1} UNION ALL SELECT dst FROM k{i - 1}) GROUP BY 1 HAVING count(*) >= 3)")
     ROUNDS.append(f"k{i} AS MATERIALIZED (SELECT * FROM k{i - 1} WHERE src IN (SELECT node FROM d{i}) AND dst IN (SELECT node FROM d{i}))")
-sql("k_core", *GRAPH, *ROUNDS, final=f"SELECT src, dst, w FROM k{CORE_ROUNDS}")
+sql("k_core", *KNN, *ROUNDS, final=f"SELECT src, dst, sim FROM k{CORE_ROUNDS}")
 
 # --- groups --------------------------------------------------------------------------
 
@@ -336,9 +336,9 @@ sql("bundle_edges", *KNN, EDGES, PLACED,
     """p AS (SELECT CASE WHEN (a.tx, a.ty) <= (b.tx, b.ty) THEN a.tx ELSE b.tx END AS ax,
     CASE WHEN (a.tx, a.ty) <= (b.tx, b.ty) THEN a.ty ELSE b.ty END AS ay,
     CASE WHEN (a.tx, a.ty) <= (b.tx, b.ty) THEN b.tx ELSE a.tx END AS bx,
-    CASE WHEN (a.tx, a.ty) <= (b.tx, b.ty) THEN b.ty ELSE a.ty END AS by, w
+    CASE WHEN (a.tx, a.ty) <= (b.tx, b.ty) THEN b.ty ELSE a.ty END AS b_y, w
   FROM edges JOIN cells a ON a.node = src JOIN cells b ON b.node = dst)""",
-    final="SELECT ax, ay, bx, by, count(*) AS n, sum(w)::BIGINT AS w FROM p GROUP BY 1, 2, 3, 4")
+    final='SELECT ax, ay, bx, b_y AS "by", count(*) AS n, sum(w)::BIGINT AS w FROM p GROUP BY 1, 2, 3, 4')
 
 # --- comparing maps ------------------------------------------------------------------
 
