@@ -33,14 +33,16 @@ def rank_groups(stats: DataFrame, group: str) -> DataFrame:
 
 
 def rank_shift(stats: DataFrame, group: str) -> DataFrame:
-    """concept, from_group, to_group, rank_from, rank_to, shift for each pair of groups that
-    both have the concept. `group` takes few values; a concept has one row per group."""
-    ranked = rank_groups(stats, group)
-    a = ranked.select("concept", F.col(group).alias("from_group"), F.col("rank").alias("rank_from"))
-    b = ranked.select("concept", F.col(group).alias("to_group"), F.col("rank").alias("rank_to"))
+    """Per group and concept: rank by df in the group, rank over all groups, and the shift.
+
+    Every group is compared with the whole, so the result grows with the input and not with
+    the number of pairs of groups.
+    """
+    whole = stats.groupBy("concept").agg(F.sum("df").alias("df"))
+    overall = rank_groups(whole.withColumn("g", F.lit(0)), "g").select("concept", F.col("rank").alias("rank_all"))
     return (
-        a.join(b, "concept").where(F.col("from_group") < F.col("to_group"))
-        .withColumn("shift", F.col("rank_from") - F.col("rank_to"))
+        rank_groups(stats, group).join(overall, "concept")
+        .select(group, "concept", "rank", "rank_all", (F.col("rank_all") - F.col("rank")).alias("shift"))
     )
 
 

@@ -63,19 +63,16 @@ def fold_labels(df: DataFrame, col: str = "concept") -> DataFrame:
 def term_stats(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """tf (occurrences) and df (units) per concept, per group when `by` is given.
 
-    Each unit's tokens and its distinct tokens go through one aggregation. Map-side
-    combining shrinks the shuffle to one row per concept and task; neither (unit, concept)
-    rows nor a distinct aggregate are shuffled.
+    Each unit's tokens and then its distinct tokens go through one aggregation; the place in
+    the joint list tells them apart. Map-side combining shrinks the shuffle to one row per
+    concept and task; neither (unit, concept) rows nor a distinct aggregate are shuffled.
     """
-    marks = F.concat(
-        F.transform("toks", lambda t: F.struct(t.alias("t"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("toks"), lambda t: F.struct(t.alias("t"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-    )
+    both = F.concat("toks", F.array_distinct("toks"))
     return (
-        units.select(*by, F.explode_outer(marks).alias("m"))
-        .where(F.col("m").isNotNull())
-        .groupBy(*by, F.col("m.t").alias("concept"))
-        .agg(F.sum("m.tf").alias("tf"), F.sum("m.df").alias("df"))
+        units.select(*by, F.size("toks").alias("n"), F.posexplode_outer(both).alias("pos", "concept"))
+        .where(F.col("concept").isNotNull())
+        .groupBy(*by, "concept")
+        .agg(F.count_if(F.col("pos") < F.col("n")).alias("tf"), F.count_if(F.col("pos") >= F.col("n")).alias("df"))
     )
 
 
@@ -106,15 +103,24 @@ def mentions(units: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-def concept_sets(units: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row per unit with `ids`, the set of its concept ids; units without any stay.
+def concept_sets(units: DataFrame, vocab: DataFrame, marker: int | None = None) -> DataFrame:
+    """One row per unit with `ids`, the set of its concept ids.
 
-    A set holds at most as many ids as the vocabulary, whatever the length of the unit.
+    A set holds at most as many ids as the vocabulary, whatever the length of the unit. A
+    unit without any concept has no row, unless a `marker` id is given: then every unit
+    has that id in its set as well.
     """
     keys = _keys(units)
+    toks = F.array_distinct("toks")
+    known = vocab.select(F.col("concept").alias("tok"), F.col("cid").cast("int").alias("cid"))
+    if marker is not None:
+        # The empty string is never a token, so it can stand for the marker.
+        toks = F.concat(F.coalesce(toks, F.array().cast("array<string>")), F.array(F.lit("")))
+        known = known.unionByName(units.sparkSession.createDataFrame([("", marker)], "tok string, cid int"))
     return (
-        units.select(*keys, F.explode_outer("toks").alias("tok"))
-        .join(vocab.select(F.col("concept").alias("tok"), F.col("cid").cast("int").alias("cid")), "tok", "left")
+        units.select(*keys, F.explode_outer(toks).alias("tok"))
+        .where(F.col("tok").isNotNull())
+        .join(known, "tok")
         .groupBy(*keys)
         .agg(F.collect_set("cid").alias("ids"))
     )

@@ -8,12 +8,17 @@ the blocks of all tasks in one shuffle of at most (tasks x vocabulary^2) short r
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
+# Task functions travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WIDTH = 1024  # concepts per side of a block: a task holds one WIDTH x WIDTH count matrix
 
 _OUT = T.StructType([

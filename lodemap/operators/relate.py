@@ -79,8 +79,8 @@ def assoc(edges: DataFrame, stats: DataFrame, n_units: Column | int) -> DataFram
     )
 
 
-def _turn_sets(turns: DataFrame, vocab: DataFrame) -> DataFrame:
-    return concept_sets(token_units(turns, "conv_id", "turn", "role"), vocab)
+def _turn_sets(turns: DataFrame, vocab: DataFrame, marker: int | None = None) -> DataFrame:
+    return concept_sets(token_units(turns, "conv_id", "turn", "role"), vocab, marker)
 
 
 def cue_response(turns: DataFrame, vocab: DataFrame, width: int, min_n: int = 1) -> DataFrame:
@@ -88,14 +88,13 @@ def cue_response(turns: DataFrame, vocab: DataFrame, width: int, min_n: int = 1)
 
     n: turn pairs whose user turn has the cue and whose reply has the response; conf =
     n / n(cue); lift = n * P / (n(cue) * n(resp)) over P turn pairs. Turn pairs meet by an
-    equi-join on (conv_id, turn), so a very long conversation spreads over all tasks. An
-    extra id in every set makes the same pass count the margins and P.
+    equi-join on (conv_id, turn), so a very long conversation spreads over all tasks. A
+    marker id in every set makes the same pass count the margins and P.
     """
     scratch = Scratch(turns.sparkSession, "arcs")
-    sets = scratch.table(_turn_sets(turns, vocab), "sets")
-    extra = F.array(F.lit(width))
-    cues = sets.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.concat("ids", extra).alias("l"))
-    replies = sets.where("role = 'assistant'").select("conv_id", "turn", F.concat("ids", extra).alias("r"))
+    sets = scratch.table(_turn_sets(turns, vocab, marker=width), "sets")
+    cues = sets.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("ids").alias("l"))
+    replies = sets.where("role = 'assistant'").select("conv_id", "turn", F.col("ids").alias("r"))
     rows = cues.join(replies, ["conv_id", "turn"])
     counts = scratch.table(pair_counts(rows, width + 1).drop("grp"), "counts")
 
@@ -117,7 +116,7 @@ def cue_response(turns: DataFrame, vocab: DataFrame, width: int, min_n: int = 1)
 
 def lagged_arcs(turns: DataFrame, vocab: DataFrame, width: int, k: int, min_n: int = 1) -> DataFrame:
     """Arcs per lag 1..k: pairs of turns that far apart with the cue earlier, the response later."""
-    sets = Scratch(turns.sparkSession, "lags").table(_turn_sets(turns, vocab).where(F.size("ids") > 0), "sets")
+    sets = Scratch(turns.sparkSession, "lags").table(_turn_sets(turns, vocab), "sets")
     lags = F.explode(F.sequence(F.lit(1), F.lit(k)))
     early = sets.select("conv_id", "turn", F.col("ids").alias("l"), lags.alias("lag"))
     early = early.select("conv_id", (F.col("turn") + F.col("lag")).alias("turn"), "lag", "l")
@@ -168,7 +167,11 @@ def prune_arcs(arcs: DataFrame, k: int, weight: str = "n") -> DataFrame:
 
 
 def backbone(edges: DataFrame, alpha: float = 0.05, weight: str = "w") -> DataFrame:
-    """Disparity filter: keep an edge with (1 - w/s)^(deg - 1) < alpha at either end."""
+    """Disparity filter: keep an edge with (1 - w/s)^(deg - 1) < alpha at either end.
+
+    Edges are read three times, so they are written first.
+    """
+    edges = Scratch(edges.sparkSession, "backbone").table(edges.select("src", "dst", weight), "edges")
     ends = both_ways(edges, weight).groupBy("src").agg(F.count(F.lit(1)).alias("deg"), F.sum(weight).alias("s"))
     one = ends.select("src", F.col("deg").alias("deg_a"), F.col("s").alias("s_a"))
     two = ends.select(F.col("src").alias("dst"), F.col("deg").alias("deg_b"), F.col("s").alias("s_b"))

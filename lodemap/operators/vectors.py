@@ -8,14 +8,19 @@ groups, never one large one, and its pairs never become rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodemap.scratch import Scratch
 
+# Task functions travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 2048  # target rows per block: two blocks and their product stay under 100 MB
 
 
@@ -24,17 +29,14 @@ def _unit(pdf: pd.DataFrame) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _blocked(vectors: DataFrame, keep: Callable, schema: str, block_rows: int) -> DataFrame:
+def _blocked(vectors: DataFrame, blocks: Column, keep: Callable, schema: str) -> DataFrame:
     """Run `keep(left, right, same)` on every pair of blocks of each bucket.
 
-    `vectors` has bucket, vec_id, v. The number of blocks of a bucket comes from its row
-    count, so every block holds about `block_rows` rows whatever the bucket's share is.
+    `vectors` has bucket, vec_id, v; `blocks` is the number of blocks of the row's bucket,
+    made from the bucket's row count, so that a block is small whatever the bucket's share.
     """
-    sized = vectors.join(
-        vectors.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), "bucket"
-    )
-    mine = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    dealt = sized.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
+    dealt = vectors.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select(
         "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "vec_id", "v"
     )
@@ -66,7 +68,12 @@ def _best(ids: np.ndarray, others: np.ndarray, sim: np.ndarray, k: int) -> pd.Da
     return pd.DataFrame({"src": ids[rows], "dst": others[cols], "sim": sim[rows, cols]})
 
 
-def _knn(bucketed: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _knn(bucketed: DataFrame, blocks: Column, k: int) -> DataFrame:
     def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"src": [], "dst": [], "sim": []}).astype({"src": "int64", "dst": "int64"})
@@ -77,42 +84,110 @@ def _knn(bucketed: DataFrame, k: int, block_rows: int) -> DataFrame:
             return _best(a, b, sim, k)
         return pd.concat([_best(a, b, sim, k), _best(b, a, sim.T.copy(), k)])
 
-    found = _blocked(bucketed, keep, "src long, dst long, sim double", block_rows)
-    w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _blocked(bucketed, blocks, keep, "src long, dst long, sim double")
 
 
-def knn_exact(vectors: DataFrame, k: int, block_rows: int = BLOCK) -> DataFrame:
-    """src, dst, sim, rank: the k nearest by cosine (6 digits), ties by id, self excluded.
+def _distinct(vectors: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per different vector: v, vec_id (the smallest id) and m, its number of copies."""
+    same = vectors.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("m"))
+    return scratch.table(same, "distinct")
+
+
+def _with_copies(vectors: DataFrame, distinct: DataFrame, found: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Neighbours of all vectors from those of the distinct ones (src, dst, sim).
 
-    Work is quadratic by nature, n^2/2 products; use `knn_approx` beyond what that allows.
+    A vector's nearest are its own copies, then the copies of the neighbours of its kind.
+    The k + 1 smallest ids of a kind are enough to choose k from, so a kind with very many
+    copies carries a list of k + 1 ids, and each copy picks its k inside its own row.
     """
-    return _knn(vectors.select(F.lit(0).alias("bucket"), "vec_id", "v"), k, block_rows)
+    copied = distinct.where(F.col("m") > 1)
+    if copied.isEmpty():
+        return _ranked(found, k)
+    kinds = scratch.table(
+        vectors.select("vec_id", "v").join(copied.select("v", F.col("vec_id").alias("kind")), "v").select("vec_id", "kind"),
+        "kinds",
+    )
+    first = Window.partitionBy("kind").orderBy("vec_id")
+    few = (
+        kinds.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+        .groupBy("kind").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    )
+    few = scratch.table(few, "few")
+    near = scratch.table(_ranked(found, k).drop("rank"), "near")
+    reach = (
+        near.join(few.select(F.col("kind").alias("dst"), "ids"), "dst", "left")
+        .select("src", F.explode(F.coalesce("ids", F.array("dst"))).alias("dst"), "sim")
+        .unionByName(few.select(F.col("kind").alias("src"), F.explode("ids").alias("dst"), F.lit(1.0).alias("sim")))
+    )
+    # At most (k + 1) * (k + 1) candidates per kind.
+    lists = reach.groupBy("src").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("neg"), F.col("dst")))).alias("near")
+    )
+    members = vectors.select("vec_id").join(kinds, "vec_id", "left").select(
+        "vec_id", F.coalesce("kind", "vec_id").alias("src")
+    )
+    return (
+        members.join(lists, "src")
+        .select("vec_id", F.slice(F.filter("near", lambda c: c["dst"] != F.col("vec_id")), 1, k).alias("near"))
+        .select(F.col("vec_id").alias("src"), F.posexplode("near").alias("pos", "c"))
+        .select("src", F.col("c.dst").alias("dst"), (-F.col("c.neg")).alias("sim"), (F.col("pos") + 1).alias("rank"))
+    )
 
 
-def _planes(dim: int, n: int, seed: int) -> list[list[float]]:
-    return np.random.default_rng(seed).normal(size=(n, dim)).tolist()
+def knn_exact(vectors: DataFrame, k: int, block_rows: int = BLOCK) -> DataFrame:
+    """src, dst, sim, rank: the k nearest by cosine (6 digits), ties by id, self excluded.
+
+    Copies of one vector are compared once. Work is quadratic in the distinct vectors by
+    nature, n^2/2 products; use `knn_approx` beyond what that allows.
+    """
+    scratch = Scratch(vectors.sparkSession, "knn")
+    distinct = _distinct(vectors, scratch)
+    blocks = F.lit(-(-distinct.count() // block_rows) or 1)
+    found = _knn(distinct.select(F.lit(0).alias("bucket"), "vec_id", "v"), blocks, k)
+    return _with_copies(vectors, distinct, found, k, scratch)
 
 
-def knn_approx(vectors: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 4, seed: int = 7, block_rows: int = BLOCK) -> DataFrame:
+def knn_approx(
+    vectors: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 4, seed: int = 7,
+    block_rows: int = BLOCK, crowded: int = 8 * BLOCK, more_bits: int = 12,
+) -> DataFrame:
     """As `knn_exact` over candidates that share a bucket in one of `tables` hash tables.
 
-    A bucket is the sign pattern of `bits` fixed random planes. A crowded bucket is cut into
-    blocks like everything else; none of its members is left out.
+    A bucket is the sign pattern of `bits` fixed random planes. A bucket of over `crowded`
+    rows is hashed by `more_bits` further planes, so that one dense region does not cost the
+    square of its size; what is still together then is cut into blocks and compared whole.
     """
-    planes = _planes(dim, tables * bits, seed)
+    scratch = Scratch(vectors.sparkSession, "lsh")
+    distinct = _distinct(vectors, scratch)
+    planes = np.random.default_rng(seed).normal(size=(tables * (bits + more_bits), dim)).tolist()
+    codes = scratch.table(
+        distinct.select("vec_id", F.posexplode(_signatures(planes, tables, bits)("v")).alias("tab", "code")), "codes"
+    )
+    low = F.xxhash64("tab", F.pmod("code", F.lit(1 << bits)))
+    rows = codes.select("vec_id", "tab", "code", low.alias("low"))
+    sizes = rows.groupBy("low").agg((F.count(F.lit(1)) > crowded).alias("full"))
+    sizes = scratch.table(sizes, "sizes")
+    bucketed = scratch.table(
+        rows.join(sizes, "low").select("vec_id", F.when(F.col("full"), F.xxhash64("tab", "code")).otherwise(F.col("low")).alias("bucket")),
+        "buckets",
+    )
+    counts = bucketed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    counts = scratch.table(counts, "counts")
+    dealt = bucketed.join(counts, "bucket").join(distinct.select("vec_id", "v"), "vec_id")
+    found = _knn(dealt, F.col("blocks"), k).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
+    return _with_copies(vectors, distinct, found, k, scratch)
+
+
+def _signatures(planes: list[list[float]], tables: int, bits: int) -> Callable:
+    """Per hash table one code: the first `bits` planes in its low bits, the rest above."""
 
     @F.pandas_udf("array<long>")
-    def signatures(v: pd.Series) -> pd.Series:
+    def codes(v: pd.Series) -> pd.Series:
         signs = np.stack(v.to_numpy()) @ np.array(planes).T > 0
-        weights = 1 << np.arange(bits)
-        codes = signs.reshape(len(signs), tables, bits) @ weights
-        return pd.Series(list(codes + np.arange(tables) * (1 << bits)))
+        signs = signs.reshape(len(signs), tables, -1)
+        return pd.Series(list(signs @ (1 << np.arange(signs.shape[2]))))
 
-    bucketed = vectors.select(F.explode(signatures("v")).alias("bucket"), "vec_id", "v")
-    found = _knn(bucketed, k, block_rows).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return codes
 
 
 def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK) -> DataFrame:
@@ -122,8 +197,7 @@ def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK) -> Da
     by `kind` = 'copy' rows, so m copies give m - 1 rows rather than m * (m - 1) / 2, and no
     pair is lost: a copy has the pairs of its node.
     """
-    scratch = Scratch(vectors.sparkSession, "similar")
-    members = scratch.table(vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "members")
+    distinct = _distinct(vectors, Scratch(vectors.sparkSession, "similar"))
 
     def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -136,9 +210,11 @@ def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK) -> Da
         x, y = a[r], b[c]
         return pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y), "sim": sim[r, c]})
 
-    distinct = members.select(F.lit(0).alias("bucket"), F.col("rep").alias("vec_id"), "v")
-    found = _blocked(distinct, keep, "src long, dst long, sim double", block_rows).withColumn("kind", F.lit("similar"))
-    copied = members.where(F.col("m") > 1).select("v", "rep")
+    blocks = F.lit(-(-distinct.count() // block_rows) or 1)
+    found = _blocked(
+        distinct.select(F.lit(0).alias("bucket"), "vec_id", "v"), blocks, keep, "src long, dst long, sim double"
+    ).withColumn("kind", F.lit("similar"))
+    copied = distinct.where(F.col("m") > 1).select("v", F.col("vec_id").alias("rep"))
     copies = (
         vectors.join(copied, "v").where(F.col("vec_id") != F.col("rep"))
         .select(F.col("rep").alias("src"), F.col("vec_id").alias("dst"), F.lit(1.0).alias("sim"), F.lit("copy").alias("kind"))

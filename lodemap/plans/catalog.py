@@ -305,8 +305,7 @@ def pruned_edges(spark, folder):
 def backbone(spark, folder):
     units = maps.doc_units(spark, folder)
     edges = R.cooccur_window(units, maps.written_vocabulary(units, DOC_BAND), 5)
-    edges = Scratch(spark, "backbone").table(edges.withColumnRenamed("n", "w"), "edges")
-    return R.backbone(edges, alpha=0.05)
+    return R.backbone(edges.withColumnRenamed("n", "w"), alpha=0.05)
 
 
 @query

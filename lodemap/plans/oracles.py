@@ -353,9 +353,10 @@ sql("map_diff", *TWO_MAPS, final="""SELECT coalesce(ea.src, eb.src) AS src, coal
 FROM ea FULL JOIN eb ON ea.src = eb.src AND ea.dst = eb.dst""")
 ROLE_STATS = "rs AS MATERIALIZED (SELECT role, tok AS concept, count(*) AS tf, count(DISTINCT (conv_id, turn)) AS df FROM tok GROUP BY 1, 2)"
 sql("rank_shift", TURN_UNITS, TURN_TOK, ROLE_STATS,
-    "rk AS MATERIALIZED (SELECT role, concept, dense_rank() OVER (PARTITION BY role ORDER BY df DESC) AS rank FROM rs WHERE df >= 2)",
-    final="""SELECT a.concept, a.role AS from_group, b.role AS to_group, a.rank AS rank_from, b.rank AS rank_to, a.rank - b.rank AS shift
-FROM rk a JOIN rk b ON a.concept = b.concept AND a.role < b.role""")
+    "kept AS (SELECT role, concept, df FROM rs WHERE df >= 2)",
+    "rk AS (SELECT role, concept, dense_rank() OVER (PARTITION BY role ORDER BY df DESC) AS rank FROM kept)",
+    "ra AS (SELECT concept, dense_rank() OVER (ORDER BY df DESC) AS rank_all FROM (SELECT concept, sum(df) AS df FROM kept GROUP BY 1))",
+    final="SELECT role, concept, rank, rank_all, rank_all - rank AS shift FROM rk JOIN ra USING (concept)")
 sql("shared_concepts", TURN_UNITS, TURN_TOK, ROLE_STATS,
     final="SELECT concept FROM rs WHERE role = 'user' INTERSECT SELECT concept FROM rs WHERE role = 'assistant'")
 sql("only_in_replies", TURN_UNITS, TURN_TOK, ROLE_STATS,

@@ -31,7 +31,12 @@ def trend_sliding(events: DataFrame, size: str, slide: str, late: str) -> DataFr
 
 
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
-    """Sessions per user: start, end (last event plus gap), events and kinds of concepts."""
+    """Sessions per user: start, end (last event plus gap), events and kinds of concepts.
+
+    Sessions are merged inside each input task before the shuffle, for users with very many
+    events.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     kinds = [F.max((F.col("event_type") == t).cast("int")) for t in EVENT_TYPES]
     total = kinds[0]
     for k in kinds[1:]:
@@ -45,8 +50,18 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def dedup_stream(events: DataFrame, late: str) -> DataFrame:
-    """One row per event_id among events that arrive within `late` of each other."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    """One row per event_id among events that arrive within `late` of each other.
+
+    Duplicates go first per id and input task, then per id, so an id that makes up much of
+    the stream reaches its one state row as at most one row per input task.
+    """
+    return (
+        events.withColumn("task", F.spark_partition_id())
+        .withWatermark("ts", late)
+        .dropDuplicatesWithinWatermark(["event_id", "task"])
+        .dropDuplicatesWithinWatermark(["event_id"])
+        .drop("task")
+    )
 
 
 def tag_stream(events: DataFrame, dictionary: DataFrame) -> DataFrame:
