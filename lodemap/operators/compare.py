@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodemap.operators.relate import both_ways
+from lodemap.scratch import Scratch
 
 
 def map_diff(edges_a: DataFrame, edges_b: DataFrame, weight: str = "n") -> DataFrame:
@@ -26,10 +27,13 @@ def rank_groups(stats: DataFrame, group: str) -> DataFrame:
 
     The rank of a concept is one more than the number of distinct larger df values, so only
     the distinct (group, df) values are ranked, not the concepts of a group in one task.
+    The ranks are written: most concepts have a df of 1 or 2, and a written table of known
+    size lets Spark broadcast it rather than shuffle the concepts on those few values.
     """
     values = stats.select(group, "df").distinct()
     w = Window.partitionBy(group).orderBy(F.desc("df"))
-    return stats.join(values.withColumn("rank", F.dense_rank().over(w)), [group, "df"])
+    ranks = Scratch(stats.sparkSession, "ranks").table(values.withColumn("rank", F.dense_rank().over(w)), "ranks")
+    return stats.join(ranks, [group, "df"])
 
 
 def rank_shift(stats: DataFrame, group: str) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodemap.functions import scores, text as tx
+from lodemap.scratch import Scratch
 
 
 def token_units(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -114,9 +115,11 @@ def concept_sets(units: DataFrame, vocab: DataFrame, marker: int | None = None)
     toks = F.array_distinct("toks")
     known = vocab.select(F.col("concept").alias("tok"), F.col("cid").cast("int").alias("cid"))
     if marker is not None:
-        # The empty string is never a token, so it can stand for the marker.
+        # The empty string is never a token, so it can stand for the marker. A range has a
+        # known size, so the union with the written vocabulary can still be broadcast.
         toks = F.concat(F.coalesce(toks, F.array().cast("array<string>")), F.array(F.lit("")))
-        known = known.unionByName(units.sparkSession.createDataFrame([("", marker)], "tok string, cid int"))
+        one = units.sparkSession.range(1).select(F.lit("").alias("tok"), F.lit(marker).cast("int").alias("cid"))
+        known = known.unionByName(one)
     return (
         units.select(*keys, F.explode_outer(toks).alias("tok"))
         .where(F.col("tok").isNotNull())
@@ -153,8 +156,10 @@ def collocations(units: DataFrame, min_n: int = 2) -> DataFrame:
         units.select(F.inline_outer(F.arrays_zip(F.col("toks").alias("a"), tx.ahead("toks", 1).alias("b"))))
         .where(F.col("a").isNotNull() & F.col("b").isNotNull())
     )
-    # Margins and total are sums of the pair counts; all four uses read one shuffle of them.
-    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # The counts are read four times, for pairs, both margins and the total: write them.
+    counts = Scratch(units.sparkSession, "collocations").table(
+        pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "counts"
+    )
     left = counts.groupBy("a").agg(F.sum("n").alias("na"))
     right = counts.groupBy("b").agg(F.sum("n").alias("nb"))
     total = counts.agg(F.sum("n")).scalar()

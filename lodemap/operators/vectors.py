@@ -21,7 +21,7 @@ from lodemap.scratch import Scratch
 # Task functions travel by value: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 2048  # target rows per block: two blocks and their product stay under 100 MB
+BLOCK = 2048  # target rows per block: the product of two blocks is 32 MB
 
 
 def _unit(pdf: pd.DataFrame) -> np.ndarray:
@@ -159,27 +159,27 @@ def knn_approx(
     """
     scratch = Scratch(vectors.sparkSession, "lsh")
     distinct = _distinct(vectors, scratch)
-    planes = np.random.default_rng(seed).normal(size=(tables * (bits + more_bits), dim)).tolist()
-    codes = scratch.table(
-        distinct.select("vec_id", F.posexplode(_signatures(planes, tables, bits)("v")).alias("tab", "code")), "codes"
-    )
-    low = F.xxhash64("tab", F.pmod("code", F.lit(1 << bits)))
-    rows = codes.select("vec_id", "tab", "code", low.alias("low"))
-    sizes = rows.groupBy("low").agg((F.count(F.lit(1)) > crowded).alias("full"))
-    sizes = scratch.table(sizes, "sizes")
-    bucketed = scratch.table(
-        rows.join(sizes, "low").select("vec_id", F.when(F.col("full"), F.xxhash64("tab", "code")).otherwise(F.col("low")).alias("bucket")),
-        "buckets",
-    )
-    counts = bucketed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    counts = scratch.table(counts, "counts")
-    dealt = bucketed.join(counts, "bucket").join(distinct.select("vec_id", "v"), "vec_id")
+    dealt = _hashed(distinct, scratch, dim, tables, bits, seed, block_rows, crowded, more_bits)
     found = _knn(dealt, F.col("blocks"), k).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
     return _with_copies(vectors, distinct, found, k, scratch)
 
 
-def _signatures(planes: list[list[float]], tables: int, bits: int) -> Callable:
-    """Per hash table one code: the first `bits` planes in its low bits, the rest above."""
+def _hashed(distinct, scratch: Scratch, dim, tables, bits, seed, block_rows, crowded, more_bits) -> DataFrame:
+    """bucket, vec_id, v, blocks: every vector once per hash table."""
+    planes = np.random.default_rng(seed).normal(size=(tables * (bits + more_bits), dim)).tolist()
+    codes = distinct.select("vec_id", F.posexplode(_signatures(planes, tables)("v")).alias("tab", "code"))
+    low = F.xxhash64("tab", F.pmod("code", F.lit(1 << bits)))
+    rows = scratch.table(codes.withColumn("low", low), "codes")
+    sizes = scratch.table(rows.groupBy("low").agg((F.count(F.lit(1)) > crowded).alias("full")), "sizes")
+    bucket = F.when(F.col("full"), F.xxhash64("tab", "code")).otherwise(F.col("low"))
+    bucketed = scratch.table(rows.join(sizes, "low").select("vec_id", bucket.alias("bucket")), "buckets")
+    blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
+    counts = scratch.table(bucketed.groupBy("bucket").agg(blocks.alias("blocks")), "counts")
+    return bucketed.join(counts, "bucket").join(distinct.select("vec_id", "v"), "vec_id")
+
+
+def _signatures(planes: list[list[float]], tables: int) -> Callable:
+    """Per hash table one code: bit i is the side of its plane i."""
 
     @F.pandas_udf("array<long>")
     def codes(v: pd.Series) -> pd.Series:
@@ -190,15 +190,7 @@ def _signatures(planes: list[list[float]], tables: int, bits: int) -> Callable:
     return codes
 
 
-def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK) -> DataFrame:
-    """src < dst, sim, kind: every pair of different vectors with cosine >= tau.
-
-    Identical vectors are one node, named by their smallest id. Its copies are linked to it
-    by `kind` = 'copy' rows, so m copies give m - 1 rows rather than m * (m - 1) / 2, and no
-    pair is lost: a copy has the pairs of its node.
-    """
-    distinct = _distinct(vectors, Scratch(vectors.sparkSession, "similar"))
-
+def _over(tau: float) -> Callable:
     def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"src": [], "dst": [], "sim": []}).astype({"src": "int64", "dst": "int64"})
@@ -210,16 +202,44 @@ def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK) -> Da
         x, y = a[r], b[c]
         return pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y), "sim": sim[r, c]})
 
-    blocks = F.lit(-(-distinct.count() // block_rows) or 1)
-    found = _blocked(
-        distinct.select(F.lit(0).alias("bucket"), "vec_id", "v"), blocks, keep, "src long, dst long, sim double"
-    ).withColumn("kind", F.lit("similar"))
-    copied = distinct.where(F.col("m") > 1).select("v", F.col("vec_id").alias("rep"))
+    return keep
+
+
+def _with_stars(vectors: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """Add the links of copies to the smallest id of their kind."""
+    copied = distinct.where(F.col("m") > 1).select("v", F.col("vec_id").alias("src"))
     copies = (
-        vectors.join(copied, "v").where(F.col("vec_id") != F.col("rep"))
-        .select(F.col("rep").alias("src"), F.col("vec_id").alias("dst"), F.lit(1.0).alias("sim"), F.lit("copy").alias("kind"))
+        vectors.select("v", F.col("vec_id").alias("dst")).join(copied, "v").where(F.col("dst") != F.col("src"))
+        .select("src", "dst", F.lit(1.0).alias("sim"), F.lit("copy").alias("kind"))
     )
-    return found.unionByName(copies)
+    return found.select("src", "dst", "sim", F.lit("similar").alias("kind")).unionByName(copies)
+
+
+def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK) -> DataFrame:
+    """src < dst, sim, kind: every pair of different vectors with cosine >= tau.
+
+    Identical vectors are one node, named by their smallest id. Its copies are linked to it
+    by `kind` = 'copy' rows, so m copies give m - 1 rows rather than m * (m - 1) / 2, and no
+    pair is lost: a copy has the pairs of its node. Work is quadratic in the distinct
+    vectors; see `similar_pairs_approx`.
+    """
+    distinct = _distinct(vectors, Scratch(vectors.sparkSession, "similar"))
+    blocks = F.lit(-(-distinct.count() // block_rows) or 1)
+    bucketed = distinct.select(F.lit(0).alias("bucket"), "vec_id", "v")
+    found = _blocked(bucketed, blocks, _over(tau), "src long, dst long, sim double")
+    return _with_stars(vectors, distinct, found)
+
+
+def similar_pairs_approx(
+    vectors: DataFrame, tau: float, dim: int, tables: int = 8, bits: int = 4, seed: int = 7,
+    block_rows: int = BLOCK, crowded: int = 8 * BLOCK, more_bits: int = 12,
+) -> DataFrame:
+    """As `similar_pairs`, over the candidates of `knn_approx`: no wrong pair, some missing."""
+    scratch = Scratch(vectors.sparkSession, "similar")
+    distinct = _distinct(vectors, scratch)
+    dealt = _hashed(distinct, scratch, dim, tables, bits, seed, block_rows, crowded, more_bits)
+    found = _blocked(dealt, F.col("blocks"), _over(tau), "src long, dst long, sim double")
+    return _with_stars(vectors, distinct, found.groupBy("src", "dst").agg(F.max("sim").alias("sim")))
 
 
 def mutual(knn: DataFrame) -> DataFrame:

@@ -289,6 +289,11 @@ def similar_pairs(spark, folder):
     return V.similar_pairs(read_vectors(spark, folder), 0.4)
 
 
+@query
+def similar_pairs_approx(spark, folder):
+    return V.similar_pairs_approx(read_vectors(spark, folder), 0.4, dim=64)
+
+
 @query
 def mutual_neighbours(spark, folder):
     return V.mutual(V.knn_exact(read_vectors(spark, folder), 5))

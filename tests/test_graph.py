@@ -148,3 +148,29 @@ def test_spanning_forest_equals_kruskal(spark):
 
 def test_spanning_forest_without_edges(spark, graph):
     assert G.spanning_forest(graph[0], graph[1].limit(0)).count() == 0
+
+
+def test_the_partition_of_a_hub_is_split(spark):
+    """With broadcasts off, a join of edges on a hub with a third of them is divided by AQE."""
+    keep = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in keep}
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+    try:
+        n = 30_000
+        edges = spark.range(n, numPartitions=8).selectExpr("if(id % 3 = 0, 0, id % 997 + 1) AS src", "id + 1000 AS dst")
+        ranks = spark.range(1000).selectExpr("id AS src", "1.0D AS rank")
+        sums = edges.join(ranks, "src").groupBy("dst").sum("rank")
+        assert sums.count() == n
+        sums = edges.join(ranks, "src").groupBy("dst").sum("rank")
+        sums.collect()
+        assert "skew=true" in sums._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -92,6 +92,15 @@ def test_similar_pairs_equal_brute_force_over_blocks(spark, random_vectors):
     assert got == want
 
 
+def test_similar_pairs_approx_has_no_wrong_pair(spark, random_vectors):
+    vectors = frame(spark, random_vectors)
+    exact = {(r["src"], r["dst"], r["sim"]) for r in V.similar_pairs(vectors, 0.4).collect()}
+    one = {(r["src"], r["dst"], r["sim"]) for r in V.similar_pairs_approx(vectors, 0.4, dim=8, tables=1, bits=0).collect()}
+    some = {(r["src"], r["dst"], r["sim"]) for r in V.similar_pairs_approx(vectors, 0.4, dim=8, tables=6, bits=3).collect()}
+    assert one == exact
+    assert some <= exact and len(some) > 0.8 * len(exact)
+
+
 def test_mutual(spark):
     knn = spark.createDataFrame([(1, 2, 0.9, 1), (2, 1, 0.9, 1), (3, 1, 0.5, 1)], "src long, dst long, sim double, rank int")
     assert [tuple(r) for r in V.mutual(knn).collect()] == [(1, 2, 0.9)]
