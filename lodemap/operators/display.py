@@ -22,8 +22,9 @@ def project_pca(vectors: DataFrame) -> DataFrame:
 
 
 def _start(node: str, seed: int, axis: int) -> Column:
-    """A fixed place in [0, 1) from the node id."""
-    return F.pmod(F.xxhash64(node, F.lit(seed), F.lit(axis)), F.lit(1_000_003)) / 1_000_003.0
+    """A fixed place in [0, 1) from the node id: 32 bits of a digest."""
+    digest = F.md5(F.concat_ws("/", F.col(node).cast("string"), F.lit(str(seed)), F.lit(str(axis))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def layout_force(nodes: DataFrame, edges: DataFrame, rounds: int = 10, seed: int = 1, grid: int = 8, weight: str = "w") -> DataFrame:
@@ -99,21 +100,31 @@ def _cell(axis: str, zoom: Column, low: float, high: float) -> Column:
 def tiles(nodes: DataFrame, z_max: int, k: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
     """z, tx, ty, n, top for zooms 0..z_max over nodes (node, x, y, score).
 
-    `top` holds the k best nodes of the cell by score, then id. Zoom 0 is one cell with all
-    nodes, so the ranking keeps k rows per cell in each task before the shuffle, and the
-    counts are map-side sums.
+    `top` holds the k best nodes of the cell by score, then id. Only the finest zoom reads the
+    nodes: a coarser cell is four finer ones, its count their sum and its best k among their
+    best k. What is repeated per zoom is cells with k nodes each, not nodes. Both steps keep
+    k rows per cell in each task before the shuffle, zoom 0 with its one cell included.
     """
-    zoomed = nodes.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(z_max)))).select(
-        "z", _cell("x", F.col("z"), low, high).alias("tx"), _cell("y", F.col("z"), low, high).alias("ty"), "node", "score"
+    fine = nodes.select(
+        _cell("x", F.lit(z_max), low, high).alias("fx"), _cell("y", F.lit(z_max), low, high).alias("fy"), "node", "score"
     )
-    counts = zoomed.groupBy("z", "tx", "ty").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("z", "tx", "ty").orderBy(F.desc("score"), "node")
-    best = (
-        zoomed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        .groupBy("z", "tx", "ty")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "node"))).alias("top"))
+    scratch = Scratch(nodes.sparkSession, "tiles")
+    in_fine = Window.partitionBy("fx", "fy").orderBy(F.desc("score"), "node")
+    counts = scratch.table(fine.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n")), "counts")
+    best = scratch.table(fine.withColumn("r", F.row_number().over(in_fine)).where(F.col("r") <= k).drop("r"), "best")
+
+    def zoomed(df: DataFrame) -> DataFrame:
+        out = df.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(z_max))))
+        ratio = F.pow(F.lit(2.0), F.lit(z_max) - F.col("z"))
+        return out.withColumn("tx", F.floor(F.col("fx") / ratio).cast("int")).withColumn("ty", F.floor(F.col("fy") / ratio).cast("int"))
+
+    cell = ["z", "tx", "ty"]
+    w = Window.partitionBy(*cell).orderBy(F.desc("score"), "node")
+    tops = (
+        zoomed(best).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        .groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("rank", "node"))).alias("top"))
     )
-    return counts.join(best, ["z", "tx", "ty"])
+    return zoomed(counts).groupBy(*cell).agg(F.sum("n").alias("n")).join(tops, cell)
 
 
 def viewport(nodes: DataFrame, box: tuple[float, float, float, float], k: int) -> DataFrame:

@@ -130,6 +130,7 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Triangles are the common entries of two out-lists; open wedges never become rows.
     """
     scratch = Scratch(edges.sparkSession, "triangles")
+    edges = scratch.table(edges.select("src", "dst"), "edges")
     deg = scratch.table(both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg")), "deg")
     a = deg.select(F.col("node").alias("src"), F.col("deg").alias("da"))
     b = deg.select(F.col("node").alias("dst"), F.col("deg").alias("db"))

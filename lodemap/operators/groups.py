@@ -65,6 +65,7 @@ def cluster_names(ment: DataFrame, group: str, k: int) -> DataFrame:
     """Top-k terms per group by class-based tf-idf: tf in group * ln(1 + A / tf overall),
     where A is the average number of mentions per group."""
     per = ment.groupBy(group, "concept").agg(F.sum("tf").alias("tf"))
+    per = Scratch(ment.sparkSession, "names").table(per, "per")  # read three times
     overall = per.groupBy("concept").agg(F.sum("tf").alias("all_tf"))
     average = per.agg(F.sum("tf") / F.count_distinct(group)).scalar()
     scored = per.join(overall, "concept").withColumn(
@@ -76,6 +77,7 @@ def cluster_names(ment: DataFrame, group: str, k: int) -> DataFrame:
 def agreement(assigned: DataFrame, a: str, b: str) -> DataFrame:
     """One row: purity of `a` against `b` and their Rand index, from the contingency table."""
     cells = assigned.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    cells = Scratch(assigned.sparkSession, "agreement").table(cells, "cells")  # read three times
     rows = cells.groupBy(a).agg(
         F.sum("n").alias("ra"), F.max("n").alias("best"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same")
     )

@@ -443,7 +443,8 @@ def project_pca(spark, folder):
 @query
 def layout_force(spark, folder):
     nodes, _, edges = maps.neighbour_map(spark, folder)
-    return D.layout_force(nodes, edges, rounds=5)
+    placed = D.layout_force(nodes, edges, rounds=5)
+    return placed.select("node", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def _placed(spark, folder):
@@ -577,19 +578,20 @@ def upsert_edges(spark, folder):
 
 @query
 def late_rows(spark, folder):
-    """Events sent in two files, the later half first: what the watermark drops, per batch.
+    """Events sent in two waves, the later half of the time first: what the watermark drops.
 
     Duplicate removal keeps single rows, so the dropped rows are counted exactly.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     scratch = Scratch(spark, "late")
     raw = spark.read.parquet(f"{folder}/events.parquet")
-    mid = raw.agg((F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5))).scalar()
-    is_late = F.unix_micros(F.col("ts").cast("timestamp")) < mid
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    is_late = 2 * at < raw.agg(F.min(at) + F.max(at)).scalar()
     wave = scratch.path("wave")
     raw.where(~is_late).write.mode("append").parquet(wave)
     stream = stream_events(spark, wave, pattern="*.parquet")
     S.run_to_table(S.dedup_stream(stream, "1 hour"), scratch.path("out"), scratch.path("checkpoint"))
     raw.where(is_late).write.mode("append").parquet(wave)
     second = S.run_to_table(S.dedup_stream(stream, "1 hour"), scratch.path("out"), scratch.path("checkpoint"))
-    return spark.createDataFrame(S.late_rows(second), "batch_id long, n_input long, n_dropped long")
+    report = spark.createDataFrame(S.late_rows(second), "batch_id long, n_input long, n_dropped long")
+    return report.agg(F.sum("n_input").alias("n_input"), F.sum("n_dropped").alias("n_dropped"))

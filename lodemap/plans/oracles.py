@@ -291,6 +291,21 @@ for i in range(1, CORE_ROUNDS + 1):
     ROUNDS.append(f"k{i} AS MATERIALIZED (SELECT * FROM k{i - 1} WHERE src IN (SELECT node FROM d{i}) AND dst IN (SELECT node FROM d{i}))")
 sql("k_core", *KNN, *ROUNDS, final=f"SELECT src, dst, sim FROM k{CORE_ROUNDS}")
 
+# Kruskal's algorithm, one edge per step, with the component of every node in a list.
+sql("spanning_forest", *GRAPH,
+    "ids AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS p FROM embeddings)",
+    """ordered AS MATERIALIZED (
+  SELECT e.src, e.dst, e.w, a.p AS pa, b.p AS pb, row_number() OVER (ORDER BY w DESC, e.src, e.dst) AS i
+  FROM edges e JOIN ids a ON a.vec_id = e.src JOIN ids b ON b.vec_id = e.dst)""",
+    """steps AS (
+  SELECT 0::BIGINT AS i, (SELECT list(p ORDER BY p) FROM ids) AS comp, false AS kept
+  UNION ALL
+  SELECT o.i, CASE WHEN comp[o.pa] <> comp[o.pb]
+      THEN list_transform(comp, lambda c: CASE WHEN c = comp[o.pb] THEN comp[o.pa] ELSE c END) ELSE comp END,
+    comp[o.pa] <> comp[o.pb]
+  FROM steps JOIN ordered o ON o.i = steps.i + 1)""",
+    final="SELECT src, dst, w FROM steps JOIN ordered USING (i) WHERE kept", recursive=True)
+
 # --- groups --------------------------------------------------------------------------
 
 sql("cluster_profile",
@@ -340,6 +355,34 @@ sql("bundle_edges", *KNN, EDGES, PLACED,
   FROM edges JOIN cells a ON a.node = src JOIN cells b ON b.node = dst)""",
     final='SELECT ax, ay, bx, b_y AS "by", count(*) AS n, sum(w)::BIGINT AS w FROM p GROUP BY 1, 2, 3, 4')
 
+
+
+def start(axis: int) -> str:
+    return f"('0x' || substr(md5(vec_id || '/1/{axis}'), 1, 8))::BIGINT::DOUBLE / 4294967296.0"
+
+
+ROUNDS = [
+    f"p0 AS MATERIALIZED (SELECT vec_id AS node, {start(0)} AS x, {start(1)} AS y FROM embeddings)",
+    "c AS (SELECT pow(count(*), -0.5) AS d, (SELECT max(w) FROM edges)::DOUBLE AS top FROM embeddings)",
+]
+for i in range(1, 6):
+    step = 0.1 * (1 - (i - 1) / 5)
+    ROUNDS.append(f"""cell{i} AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(x) AS x, avg(y) AS y FROM p{i - 1} GROUP BY floor(x * 8), floor(y * 8))""")
+    ROUNDS.append(f"""pull{i} AS MATERIALIZED (SELECT node, sum(fx) AS fx, sum(fy) AS fy FROM (
+    SELECT unnest([src, dst]) AS node, unnest([dx * size, -dx * size]) AS fx, unnest([dy * size, -dy * size]) AS fy FROM (
+      SELECT src, dst, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) * w / top / d AS size
+      FROM edges JOIN p{i - 1} a ON a.node = src JOIN p{i - 1} b ON b.node = dst, c)) GROUP BY node)""")
+    ROUNDS.append(f"""push{i} AS MATERIALIZED (SELECT node,
+    sum(k.n * (p.x - k.x) * d * d / ((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y) + d * d)) AS fx,
+    sum(k.n * (p.y - k.y) * d * d / ((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y) + d * d)) AS fy
+  FROM p{i - 1} p, cell{i} k, c GROUP BY node)""")
+    ROUNDS.append(f"""f{i} AS MATERIALIZED (SELECT node, x, y, coalesce(l.fx, 0) + h.fx AS fx, coalesce(l.fy, 0) + h.fy AS fy
+  FROM p{i - 1} JOIN push{i} h USING (node) LEFT JOIN pull{i} l USING (node))""")
+    move = f"CASE WHEN sqrt(fx * fx + fy * fy) > 0 THEN least(sqrt(fx * fx + fy * fy), {step!r}::DOUBLE) / sqrt(fx * fx + fy * fy) ELSE 0.0 END"
+    ROUNDS.append(f"""p{i} AS MATERIALIZED (SELECT node, round(greatest(0.0, least(0.999999, x + fx * {move})), 9) AS x,
+    round(greatest(0.0, least(0.999999, y + fy * {move})), 9) AS y FROM f{i})""")
+sql("layout_force", *GRAPH, *ROUNDS, final="SELECT node, round(x, 4) AS x, round(y, 4) AS y FROM p5")
+
 # --- comparing maps ------------------------------------------------------------------
 
 TWO_MAPS = (
@@ -396,3 +439,6 @@ K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 sql("tag_stream", f"e AS (SELECT event_type, {K} AS k FROM events)", final="""SELECT
   CASE WHEN k < 90 THEN 'band' || (k // 10) END AS concept, event_type, count(*) AS n FROM e GROUP BY 1, 2""")
 sql("upsert_edges", final=f"SELECT event_type AS src, 'k' || {K} AS dst, count(*) AS n FROM events GROUP BY 1, 2")
+LATE = "2 * epoch_us(ts) < (SELECT epoch_us(min(ts)) + epoch_us(max(ts)) FROM events)"
+sql("late_rows", final=f"""SELECT count(*) AS n_input,
+  count(*) FILTER (ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)) AS n_dropped FROM events WHERE {LATE}""")

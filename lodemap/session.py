@@ -24,14 +24,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+FEW_SPLITS = 64
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread `df` by unique keys, only when the scan has fewer splits than cores.
+    """Hash-spread `df` by unique keys, only when the scan has few splits for the cores.
 
     A table of one or two files reads as one or two tasks, which starves the CPU-heavy
-    tokenising that follows. Large tables already have more splits than cores and are
-    returned untouched, so no text is shuffled at scale.
+    tokenising that follows. A table of over FEW_SPLITS splits is returned untouched, so no
+    large text is ever shuffled for balance.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= min(cores, FEW_SPLITS):
         return df
     return df.repartition(cores, *keys)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodemap.scratch import Scratch
+
 
 def write_map(nodes: DataFrame, edges: DataFrame, path: str, map_id: str) -> None:
     """Write one map below `path`/nodes and `path`/edges, replacing that map_id only."""
@@ -16,8 +18,8 @@ def write_map(nodes: DataFrame, edges: DataFrame, path: str, map_id: str) -> Non
 
 
 def top_map(nodes: DataFrame, edges: DataFrame, n: int, by: str = "score") -> tuple[DataFrame, DataFrame]:
-    """The n best nodes (ties by id) and the edges between them."""
-    best = nodes.orderBy(F.desc(by), "node").limit(n)
+    """The n best nodes (ties by id) and the edges between them. The n nodes are written once."""
+    best = Scratch(nodes.sparkSession, "top").table(nodes.orderBy(F.desc(by), "node").limit(n), "nodes")
     ids = best.select("node")
     inside = edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("node", "dst"), "dst", "left_semi"
