@@ -245,15 +245,21 @@ def k_core(edges: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
     raise NotConverged(f"k_core after {max_rounds} rounds")
 
 
+def _jump(pointers: DataFrame) -> DataFrame:
+    """Follow each pointer comp -> root one step further; `moved` tells whether that changed it."""
+    on = pointers.select(F.col("comp").alias("root"), F.col("root").alias("next"))
+    return pointers.join(on, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+
+
 def _roots(scratch: Scratch, pointers: DataFrame, name: str, max_rounds: int) -> DataFrame:
     """comp, root for pointers comp -> to whose only cycles are mutual pairs."""
     on = pointers.select(F.col("comp").alias("to"), F.col("to").alias("next"))
     root = F.when(F.col("next") == F.col("comp"), F.least("comp", "to")).otherwise(F.col("to"))
     jumps = scratch.table(pointers.join(on, "to").select("comp", root.alias("root")), f"{name}-j0")
     for i in range(1, max_rounds + 1):
-        on = jumps.select(F.col("comp").alias("root"), F.col("root").alias("next"))
-        ahead = jumps.join(on, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        jumps = scratch.table(ahead, f"{name}-j{i}")
+        # Two jumps per written round; a pointer that the second one still moves is not done.
+        far = _jump(_jump(jumps).drop("moved"))
+        jumps = scratch.table(far, f"{name}-j{i}")
         if jumps.where("moved").isEmpty():
             return jumps.select("comp", "root")
         jumps = jumps.select("comp", "root")

@@ -21,7 +21,8 @@ from lodemap.scratch import Scratch
 # Task functions travel by value: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 2048  # target rows per block: the product of two blocks is 32 MB
+BLOCK = 8192  # target rows per block; larger blocks send every vector to fewer tasks
+STRIP = 1024  # rows of one block multiplied at a time, so that a product stays at 64 MB
 
 
 def _unit(pdf: pd.DataFrame) -> np.ndarray:
@@ -73,16 +74,39 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _strips(left: pd.DataFrame, right: pd.DataFrame, same: bool):
+    """Ids and rounded cosines of two blocks, some rows at a time; -inf for a row with itself."""
+    a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+    if len(a) == 0 or len(b) == 0:
+        return
+    u = _unit(left)
+    w = u if same else _unit(right)
+    for s in range(0, len(a), STRIP):
+        sim = np.round(u[s:s + STRIP] @ w.T, 6)
+        if same:
+            n = np.arange(len(sim))
+            sim[n, s + n] = -np.inf
+        yield a[s:s + STRIP], b, sim
+
+
+def _gathered(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    if parts:
+        return pd.concat(parts, ignore_index=True)
+    return pd.DataFrame({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64), "sim": np.empty(0)})
+
+
 def _knn(bucketed: DataFrame, blocks: Column, k: int) -> DataFrame:
     def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"src": [], "dst": [], "sim": []}).astype({"src": "int64", "dst": "int64"})
-        a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        sim = np.round(_unit(left) @ _unit(right).T, 6)
-        if same:
-            np.fill_diagonal(sim, -np.inf)
-            return _best(a, b, sim, k)
-        return pd.concat([_best(a, b, sim, k), _best(b, a, sim.T.copy(), k)])
+        there, back = [], []
+        for a, b, sim in _strips(left, right, same):
+            there.append(_best(a, b, sim, k))
+            if not same:
+                back.append(_best(b, a, sim.T, k))
+        if len(back) > 1:
+            # k per row and strip: reduce to k per row before they leave the task.
+            merged = pd.concat(back).sort_values(["src", "sim", "dst"], ascending=[True, False, True])
+            back = [merged.groupby("src", sort=False).head(k)]
+        return _gathered(there + back)
 
     return _blocked(bucketed, blocks, keep, "src long, dst long, sim double")
 
@@ -192,15 +216,14 @@ def _signatures(planes: list[list[float]], tables: int) -> Callable:
 
 def _over(tau: float) -> Callable:
     def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"src": [], "dst": [], "sim": []}).astype({"src": "int64", "dst": "int64"})
-        a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        sim = np.round(_unit(left) @ _unit(right).T, 6)
-        r, c = np.nonzero(sim >= tau)
-        if same:
-            r, c = r[c > r], c[c > r]
-        x, y = a[r], b[c]
-        return pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y), "sim": sim[r, c]})
+        parts = []
+        for a, b, sim in _strips(left, right, same):
+            r, c = np.nonzero(sim >= tau)
+            x, y = a[r], b[c]
+            if same:  # both orders are there: keep one
+                r, c, x, y = r[x < y], c[x < y], x[x < y], y[x < y]
+            parts.append(pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y), "sim": sim[r, c]}))
+        return _gathered(parts)
 
     return keep
 

@@ -55,6 +55,14 @@ def test_knn_with_a_third_of_copies(spark, random_vectors, block_rows):
     same(lists(V.knn_exact(frame(spark, m, ids), 4, block_rows)), brute(m, 4, ids))
 
 
+def test_strips_inside_a_block(spark, random_vectors, monkeypatch):
+    monkeypatch.setattr(V, "STRIP", 7)
+    same(lists(V.knn_exact(frame(spark, random_vectors), 4, 50)), brute(random_vectors, 4))
+    few = {(r["src"], r["dst"]) for r in V.similar_pairs(frame(spark, random_vectors), 0.5, 50).collect()}
+    monkeypatch.undo()
+    assert few == {(r["src"], r["dst"]) for r in V.similar_pairs(frame(spark, random_vectors), 0.5).collect()}
+
+
 def test_knn_fewer_vectors_than_k(spark):
     same(lists(V.knn_exact(frame(spark, np.eye(3)), 5)), brute(np.eye(3), 5))
 
