@@ -70,7 +70,8 @@ def term_stats(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     both = F.concat("toks", F.array_distinct("toks"))
     return (
-        units.select(*by, F.size("toks").alias("n"), F.posexplode_outer(both).alias("pos", "concept"))
+        units.select(*by, F.size("toks").alias("n"), both.alias("both"))
+        .select(*by, "n", F.posexplode_outer("both").alias("pos", "concept"))
         .where(F.col("concept").isNotNull())
         .groupBy(*by, "concept")
         .agg(F.count_if(F.col("pos") < F.col("n")).alias("tf"), F.count_if(F.col("pos") >= F.col("n")).alias("df"))

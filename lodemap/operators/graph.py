@@ -80,16 +80,17 @@ def pagerank(nodes: DataFrame, arcs: DataFrame, d: float = 0.85, rounds: int = 1
     """node, rank after fixed rounds over arcs (src, dst); ranks sum to 1.
 
     The rank of nodes without arcs out is spread evenly; its sum is a scalar subquery on the
-    table of the round before.
+    table of the round before, left out when there is no such node.
     """
     scratch = Scratch(nodes.sparkSession, "pagerank")
     arcs = scratch.table(arcs.select("src", "dst"), "arcs")
     out = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out"))
     start = scratch.table(nodes.select("node").distinct().join(out, "node", "left"), "nodes")
     n = start.count()
+    dangling = not start.where(F.col("out").isNull()).isEmpty()
     ranks = start.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, rounds + 1):
-        lost = F.coalesce(ranks.where(F.col("out").isNull()).agg(F.sum("rank")).scalar(), F.lit(0.0))
+        lost = ranks.where(F.col("out").isNull()).agg(F.sum("rank")).scalar() if dangling else F.lit(0.0)
         got = (
             ranks.where(F.col("out").isNotNull())
             .select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("m"))

@@ -14,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Task functions travel by value: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WIDTH = 1024  # concepts per side of a block: a task holds one WIDTH x WIDTH count matrix
+WIDTH = 4096  # concepts per side of a block: a task holds one block of int32 counts, 64 MB at most
 
 _OUT = T.StructType([
     T.StructField("grp", T.IntegerType()),
@@ -44,9 +44,9 @@ def _add(acc: np.ndarray, lo, lv, ro, rv) -> None:
     todo = np.concatenate([[0], np.cumsum(ll.astype(np.int64) * rl)])
     start = 0
     while start < len(ll):
-        # As many units as give some millions of pairs, but at least one.
+        # As many units as give some millions of pairs, but at least one and at most 1,024.
         stop = max(start + 1, int(np.searchsorted(todo, todo[start] + 4_000_000, side="right")) - 1)
-        stop = min(stop, start + 4096, len(ll))
+        stop = min(stop, start + 1024, len(ll))
         pairs = todo[stop] - todo[start]
         left, right = lv[lo[start]:lo[stop]], rv[ro[start]:ro[stop]]
         n_l, n_r = ll[start:stop], rl[start:stop]
@@ -55,14 +55,14 @@ def _add(acc: np.ndarray, lo, lv, ro, rv) -> None:
             y = np.zeros((stop - start, wr), np.float32)
             x[np.repeat(np.arange(stop - start), n_l), left] = 1
             y[np.repeat(np.arange(stop - start), n_r), right] = 1
-            acc += (x.T @ y).astype(np.int64)
+            acc += (x.T @ y).astype(np.int32)
         elif pairs:
             width = np.repeat(n_r, n_l)
             first = np.repeat(ro[start:stop] - ro[start], n_l)
             ends = np.cumsum(width)
             at = np.arange(ends[-1]) - np.repeat(ends - width, width) + np.repeat(first, width)
             cells = np.repeat(left.astype(np.int64), width) * wr + right[at]
-            acc += np.bincount(cells, minlength=wl * wr).reshape(wl, wr)
+            np.add.at(acc.reshape(-1), cells, np.int32(1))
         start = stop
 
 
@@ -70,7 +70,7 @@ def _counter(width: int, upper: bool):
     def emit(acc, key) -> Iterator[pa.RecordBatch]:
         grp, bl, br = key
         i, j = np.nonzero(acc)
-        n = acc[i, j]
+        n = acc[i, j].astype(np.int64)
         a, b = i + bl * WIDTH, j + br * WIDTH
         if upper:
             keep = a < b
@@ -95,7 +95,7 @@ def _counter(width: int, upper: bool):
                 if key != current:
                     if current is not None:
                         yield from emit(acc, current)
-                    acc, current = np.zeros((side, side), np.int64), key
+                    acc, current = np.zeros((side, side), np.int32), key
                 l_off, l_val = _lists(batch.column(3).slice(lo, hi - lo))
                 r_off, r_val = _lists(batch.column(4).slice(lo, hi - lo))
                 _add(acc, l_off, l_val - key[1] * WIDTH, r_off, r_val - key[2] * WIDTH)
@@ -105,13 +105,24 @@ def _counter(width: int, upper: bool):
     return run
 
 
+def _by_block(ids: str) -> Column:
+    """The ids of a row parted by block: array of (block, ids)."""
+    def block(x: Column) -> Column:
+        return F.floor(x / WIDTH).cast("int")
+
+    return F.transform(
+        F.array_distinct(F.transform(ids, block)),
+        lambda b: F.struct(b.alias("block"), F.filter(ids, lambda x: block(x) == b).alias("ids")),
+    )
+
+
 def pair_counts(rows: DataFrame, width: int, upper: bool = False, by: str | None = None) -> DataFrame:
     """(grp, a, b, n): in how many rows id a is in `l` and id b in `r`.
 
     `rows` has array<int> columns `l` and `r` of distinct ids below `width`, and an int
-    group column when `by` is given. A vocabulary wider than one block is cut into blocks;
-    each row then carries, per block pair, only its ids of those blocks, and each task sorts
-    its rows by block pair so that it holds one block of counts at a time.
+    group column when `by` is given. A vocabulary wider than one block is cut into blocks: a
+    row's ids are parted by block once, it then stands once per pair of blocks it has ids in,
+    and each task sorts its rows by block pair so that it holds one block of counts at a time.
     `upper` keeps a < b, for symmetric input.
     """
     blocks = -(-width // WIDTH)
@@ -120,15 +131,12 @@ def pair_counts(rows: DataFrame, width: int, upper: bool = False, by: str | None
     if blocks == 1:
         cells = cells.select("grp", F.lit(0).alias("bl"), F.lit(0).alias("br"), "l", "r")
     else:
-        every = F.sequence(F.lit(0), F.lit(blocks - 1))
-        cells = cells.withColumn("bl", F.explode(every))
-        cells = cells.select("grp", "bl", "r", F.filter("l", lambda x: F.floor(x / WIDTH) == F.col("bl")).alias("l"))
-        cells = cells.where(F.size("l") > 0).withColumn("br", F.explode(every))
+        cells = cells.select("grp", F.explode(_by_block("l")).alias("p"), _by_block("r").alias("r"))
+        cells = cells.select("grp", "p", F.explode("r").alias("q"))
         if upper:
-            cells = cells.where("br >= bl")
+            cells = cells.where("q.block >= p.block")
         cells = cells.select(
-            "grp", F.col("bl").cast("int").alias("bl"), F.col("br").cast("int").alias("br"), "l",
-            F.filter("r", lambda x: F.floor(x / WIDTH) == F.col("br")).alias("r"),
+            "grp", F.col("p.block").alias("bl"), F.col("q.block").alias("br"), F.col("p.ids").alias("l"), F.col("q.ids").alias("r")
         )
     cells = cells.where((F.size("l") > 0) & (F.size("r") > 0))
     if blocks > 1 or by:

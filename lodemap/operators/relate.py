@@ -97,6 +97,7 @@ def cue_response(turns: DataFrame, vocab: DataFrame, width: int, min_n: int = 1)
     replies = sets.where("role = 'assistant'").select("conv_id", "turn", F.col("ids").alias("r"))
     rows = cues.join(replies, ["conv_id", "turn"])
     counts = scratch.table(pair_counts(rows, width + 1).drop("grp"), "counts")
+    scratch.drop("sets")
 
     cue_n = counts.where((F.col("b") == width) & (F.col("a") < width)).select("a", F.col("n").alias("na"))
     resp_n = counts.where((F.col("a") == width) & (F.col("b") < width)).select("b", F.col("n").alias("nb"))

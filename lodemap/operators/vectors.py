@@ -8,6 +8,7 @@ groups, never one large one, and its pairs never become rows.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable
 
@@ -158,6 +159,15 @@ def _with_copies(vectors: DataFrame, distinct: DataFrame, found: DataFrame, k: i
     )
 
 
+def _block_count(distinct: DataFrame, block_rows: int) -> Column:
+    """Blocks of at most about `block_rows` rows; smaller ones (to 512 rows) while the pairs of
+    blocks are fewer than the cores."""
+    n = max(distinct.count(), 1)
+    cores = distinct.sparkSession.sparkContext.defaultParallelism
+    busy = min(math.ceil(n / 512), math.ceil(math.sqrt(2 * cores)))
+    return F.lit(max(math.ceil(n / block_rows), busy))
+
+
 def knn_exact(vectors: DataFrame, k: int, block_rows: int = BLOCK) -> DataFrame:
     """src, dst, sim, rank: the k nearest by cosine (6 digits), ties by id, self excluded.
 
@@ -166,7 +176,7 @@ def knn_exact(vectors: DataFrame, k: int, block_rows: int = BLOCK) -> DataFrame:
     """
     scratch = Scratch(vectors.sparkSession, "knn")
     distinct = _distinct(vectors, scratch)
-    blocks = F.lit(-(-distinct.count() // block_rows) or 1)
+    blocks = _block_count(distinct, block_rows)
     found = _knn(distinct.select(F.lit(0).alias("bucket"), "vec_id", "v"), blocks, k)
     return _with_copies(vectors, distinct, found, k, scratch)
 
@@ -197,6 +207,7 @@ def _hashed(distinct, scratch: Scratch, dim, tables, bits, seed, block_rows, cro
     sizes = scratch.table(rows.groupBy("low").agg((F.count(F.lit(1)) > crowded).alias("full")), "sizes")
     bucket = F.when(F.col("full"), F.xxhash64("tab", "code")).otherwise(F.col("low"))
     bucketed = scratch.table(rows.join(sizes, "low").select("vec_id", bucket.alias("bucket")), "buckets")
+    scratch.drop("codes")
     blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
     counts = scratch.table(bucketed.groupBy("bucket").agg(blocks.alias("blocks")), "counts")
     return bucketed.join(counts, "bucket").join(distinct.select("vec_id", "v"), "vec_id")
@@ -247,7 +258,7 @@ def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK) -> Da
     vectors; see `similar_pairs_approx`.
     """
     distinct = _distinct(vectors, Scratch(vectors.sparkSession, "similar"))
-    blocks = F.lit(-(-distinct.count() // block_rows) or 1)
+    blocks = _block_count(distinct, block_rows)
     bucketed = distinct.select(F.lit(0).alias("bucket"), "vec_id", "v")
     found = _blocked(bucketed, blocks, _over(tau), "src long, dst long, sim double")
     return _with_stars(vectors, distinct, found)
