@@ -440,6 +440,11 @@ def project_pca(spark, folder):
     return D.project_pca(read_vectors(spark, folder))
 
 
+@query
+def similarity_map(spark, folder):
+    return maps.similarity_map(spark, folder)
+
+
 @query
 def layout_force(spark, folder):
     nodes, _, edges = maps.neighbour_map(spark, folder)
@@ -557,18 +562,31 @@ def dedup_stream(spark, folder):
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"))
 
 
-@query
-def tag_stream(spark, folder):
-    """Events tagged by a dictionary of the values their `props` take, in bands of ten."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def _bands(spark, folder):
+    """A written dictionary of the values that `props` takes below 90, in bands of ten."""
     k = F.from_json("props", "map<string,string>")["k"].cast("bigint")
     entries = read_events(spark, folder).select(k.alias("k")).where("k < 90").distinct()
     entries = entries.withColumn("concept", F.concat(F.lit("band"), F.floor(F.col("k") / 10)))
-    dictionary = Scratch(spark, "bands").table(entries, "entries")
+    return Scratch(spark, "bands").table(entries, "entries")
+
+
+@query
+def tag_stream(spark, folder):
+    """Events tagged by their band, those outside the dictionary included."""
+    dictionary = _bands(spark, folder)
     out = _stream_table(spark, folder, "tags", lambda ev: S.tag_stream(ev, dictionary))
     return out.groupBy("concept", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def tagged_trend(spark, folder):
+    """Events tagged from a dictionary and counted per tag and closed window, in one stream."""
+    dictionary = _bands(spark, folder)
+    return _windows(_stream_table(
+        spark, folder, "tagged", lambda ev: S.trend_tumbling(S.tag_stream(ev, dictionary), "1 day", "1 hour", "concept")
+    ))
+
+
 @query
 def upsert_edges(spark, folder):
     scratch = Scratch(spark, "upsert")

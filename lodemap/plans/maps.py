@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.operators import concepts as C, relate as R, vectors as V
+from lodemap.operators import concepts as C, display as D, graph as G, relate as R, vectors as V
 from lodemap.scratch import Scratch
 from lodemap.sources import read_documents, read_turns, read_vectors
 
@@ -61,6 +61,18 @@ def neighbour_map(spark: SparkSession, folder: str, k: int = 5) -> tuple[DataFra
     return nodes, knn, V.knn_edges(knn)
 
 
+def similarity_map(spark: SparkSession, folder: str, k: int = 5, rounds: int = 10) -> DataFrame:
+    """The nodes of a similarity map: vec_id, component of the mutual neighbours, PageRank over
+    the neighbour arcs, and display coordinates."""
+    vectors = read_vectors(spark, folder)
+    nodes, knn, _ = neighbour_map(spark, folder, k)
+    return (
+        G.components(nodes, V.mutual(knn))
+        .join(G.pagerank(nodes, knn, rounds=rounds), "node")
+        .join(D.project_pca(vectors).withColumnRenamed("vec_id", "node"), "node")
+    )
+
+
 def role_edges(spark: SparkSession, folder: str, w: int = 3) -> DataFrame:
     """Window co-occurrence per role: one map per kind of speaker."""
     units = turn_units(spark, folder)

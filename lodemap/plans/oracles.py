@@ -438,6 +438,11 @@ sql("dedup_stream", final="SELECT event_type, count(*) AS n, count(DISTINCT even
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 sql("tag_stream", f"e AS (SELECT event_type, {K} AS k FROM events)", final="""SELECT
   CASE WHEN k < 90 THEN 'band' || (k // 10) END AS concept, event_type, count(*) AS n FROM e GROUP BY 1, 2""")
+sql("tagged_trend",
+    f"e AS (SELECT *, {K} AS k, time_bucket(INTERVAL 24 HOUR, ts, TIMESTAMP '2000-01-01') AS s FROM events)",
+    final=f"""SELECT {stamp('s')} AS start, {stamp('s + INTERVAL 24 HOUR')} AS "end", CASE WHEN k < 90 THEN 'band' || (k // 10) END AS concept,
+  count(*) AS n, round(sum(value), 2) AS value
+FROM e WHERE s + INTERVAL 24 HOUR <= {CLOSED} GROUP BY 1, 2, 3""")
 sql("upsert_edges", final=f"SELECT event_type AS src, 'k' || {K} AS dst, count(*) AS n FROM events GROUP BY 1, 2")
 LATE = "2 * epoch_us(ts) < (SELECT epoch_us(min(ts)) + epoch_us(max(ts)) FROM events)"
 sql("late_rows", final=f"""SELECT count(*) AS n_input,

@@ -1,9 +1,10 @@
 """Concept trends over an event stream. Each function maps a stream to a stream; the event
-type is the concept. State is one row per open window (or id), bounded by the watermark."""
+type is the concept unless another column is named. State is one row per open window (or id),
+bounded by the watermark."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -11,23 +12,23 @@ from pyspark.sql.streaming import StreamingQuery
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
-def _counted(events: DataFrame, window, late: str) -> DataFrame:
+def _counted(events: DataFrame, window: Column, late: str, concept: str) -> DataFrame:
     return (
         events.withWatermark("ts", late)
-        .groupBy(window.alias("w"), F.col("event_type").alias("concept"))
+        .groupBy(window.alias("w"), F.col(concept).alias("concept"))
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "concept", "n", "value")
     )
 
 
-def trend_tumbling(events: DataFrame, size: str, late: str) -> DataFrame:
+def trend_tumbling(events: DataFrame, size: str, late: str, concept: str = "event_type") -> DataFrame:
     """Count per concept and window; in append mode only closed windows come out."""
-    return _counted(events, F.window("ts", size), late)
+    return _counted(events, F.window("ts", size), late, concept)
 
 
-def trend_sliding(events: DataFrame, size: str, slide: str, late: str) -> DataFrame:
+def trend_sliding(events: DataFrame, size: str, slide: str, late: str, concept: str = "event_type") -> DataFrame:
     """As `trend_tumbling` over overlapping windows."""
-    return _counted(events, F.window("ts", size, slide), late)
+    return _counted(events, F.window("ts", size, slide), late, concept)
 
 
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
