@@ -7,7 +7,6 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from lodemap.functions import scores
 from lodemap.operators.concepts import top_concepts
 from lodemap.scratch import Scratch
 

@@ -2,7 +2,6 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lodemap.operators import compare as M, display as D
 from lodemap.scratch import Scratch, shared_dir
