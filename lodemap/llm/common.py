@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodemap.scratch import Scratch
+
 #: A word: a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,8 +69,9 @@ def bucket_of(column: str, buckets: int) -> Column:
 def seeded_sample(df: DataFrame, by: str, key: str, rows: int, seed: str) -> DataFrame:
     """About `rows` rows of each value of `by`, by a seeded hash of `key`: the same at every run.
 
-    Groups of fewer rows are kept whole. The share comes from counts of all rows.
+    Groups of fewer rows are kept whole. The share comes from counts of all rows, which are
+    written first, so that Spark knows their size and need not shuffle `df` to join them.
     """
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = Scratch(df.sparkSession, "sample").table(df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), "counts")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     return df.join(counts, by).where(draw * F.col("_n") < rows).drop("_n")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.llm import langid
+from lodemap.llm import langid, toxicity
 from lodemap.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def _held_out(buckets: int, held: int):
     return F.coalesce(bucket_of("doc_id", buckets) == held, F.lit(False)).alias("held_out")
 
 
+@query
+def op6_toxicity(spark, folder):
+    docs = _documents(spark, folder)
+    model = toxicity.split_fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    found = toxicity.toxicity(docs, model)
+    return found.select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
 @query
 def op10_language_id(spark, folder):
     docs = _documents(spark, folder)
