@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.llm import langid, toxicity
+from lodemap.llm import langid, mixing, toxicity, url_filter
 from lodemap.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,13 @@ def _held_out(buckets: int, held: int):
     return F.coalesce(bucket_of("doc_id", buckets) == held, F.lit(False)).alias("held_out")
 
 
+@query
+def op4_mixing(spark, folder):
+    sized = mixing.written_sizes(_documents(spark, folder))
+    taken = mixing.copies(sized, mixing.plan(sized))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 @query
 def op6_toxicity(spark, folder):
     docs = _documents(spark, folder)
@@ -35,6 +42,44 @@ def op6_toxicity(spark, folder):
     return found.select("doc_id", _held_out(3, 1), "score", "predicted")
 
 
+#: Fixed values of the query's contract.
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+@query
+def op8_url_filter(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op8_url_filter"] = """
+WITH a AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), b AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM a
+), c AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM b
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
+FROM c
+"""
+
+
 @query
 def op10_language_id(spark, folder):
     docs = _documents(spark, folder)
