@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.llm import langid, mixing, toxicity, url_filter
+from lodemap.llm import bpe, langid, mixing, toxicity, url_filter
 from lodemap.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,16 @@ def _held_out(buckets: int, held: int):
     return F.coalesce(bucket_of("doc_id", buckets) == held, F.lit(False)).alias("held_out")
 
 
+@query
+def op1_bpe(spark, folder):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(_documents(spark, folder), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 @query
 def op4_mixing(spark, folder):
     sized = mixing.written_sizes(_documents(spark, folder))
