@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.llm import bpe, langid, mixing, toxicity, url_filter
+from lodemap.llm import bpe, langid, mixing, rotated_codes, toxicity, url_filter
 from lodemap.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ def op1_bpe(spark, folder):
         F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+@query
+def op2_rotated_codes(spark, folder):
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return rotated_codes.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op4_mixing(spark, folder):
     sized = mixing.written_sizes(_documents(spark, folder))
