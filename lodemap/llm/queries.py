@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.llm import bpe, langid, mixing, rotated_codes, toxicity, url_filter
+from lodemap.llm import bpe, cap_filters, langid, mixing, rotated_codes, toxicity, url_filter
 from lodemap.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,11 @@ FROM c
 """
 
 
+@query
+def op9_cap_filters(spark, folder):
+    return cap_filters.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 @query
 def op10_language_id(spark, folder):
     docs = _documents(spark, folder)
