@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.llm import bpe, cap_filters, langid, mixing, rotated_codes, toxicity, url_filter
+from lodemap.llm import bpe, cap_filters, jaccard_join, langid, mixing, rotated_codes, toxicity, url_filter
 from lodemap.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,36 @@ def op4_mixing(spark, folder):
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query
+def op5_jaccard_join(spark, folder):
+    return jaccard_join.join(_documents(spark, folder))
+
+
+ORACLES["op5_jaccard_join"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reach AS (
+  SELECT doc_id AS root, doc_id AS d FROM documents
+  UNION SELECT r.root, b.y FROM reach r JOIN both_ways b ON b.x = r.d
+), c AS (SELECT d, min(root) AS component_id FROM reach GROUP BY d)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.d = d.doc_id
+"""
+
+
 @query
 def op6_toxicity(spark, folder):
     docs = _documents(spark, folder)
