@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.llm import bpe, cap_filters, jaccard_join, langid, mixing, rotated_codes, toxicity, url_filter
+from lodemap.llm import bpe, cap_filters, jaccard_join, langid, mixing, rotated_codes, token_files, toxicity, url_filter
 from lodemap.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,14 @@ def op6_toxicity(spark, folder):
     return found.select("doc_id", _held_out(3, 1), "score", "predicted")
 
 
+@query
+def op7_token_files(spark, folder):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    manifest, files = token_files.write_corpus(_documents(spark, folder), spec)
+    return token_files.read(manifest, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 #: Fixed values of the query's contract.
 URL_RULES = [
     url_filter.Rule("com", "/", "allow"),
