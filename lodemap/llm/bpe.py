@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from lodemap.llm.common import slices
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+#: Encoded words that a task gathers before it hands them on, packed by block.
+PACK_WORDS = 250_000
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Fixed values of the pattern: what may follow an apostrophe as one pre-token.
 SUFFIXES = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
@@ -145,6 +147,22 @@ def _unpacked(data: bytes) -> np.ndarray:
     return planes.T.copy().view("<u4").ravel()
 
 
+def _pack(block: np.ndarray, number: np.ndarray, ids: list[list[int]]) -> pa.RecordBatch:
+    """A row for each block: the numbers of its words here, how many ids each has, and the ids."""
+    sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+    flat = np.fromiter((i for word in ids for i in word), np.uint32, int(sizes.sum()))
+    order = np.lexsort((number, block))
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    ends = np.cumsum(sizes[order], dtype=np.int64)
+    flat = flat[np.repeat(starts[order] - (ends - sizes[order]), sizes[order]) + np.arange(len(flat))]
+    names, first = np.unique(block[order], return_index=True)
+    rows = []
+    for a, b in zip(first, np.append(first[1:], len(order))):
+        words = order[a:b]
+        rows.append((_packed(number[words]), _packed(sizes[words]), _packed(flat[ends[a] - sizes[order[a]] : ends[b - 1]])))
+    return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(c, pa.binary()) for c in zip(*rows))], ["block", "numbers", "sizes", "ids"])
+
+
 def read_ranks(path: str) -> bytes:
     """The rank file; the driver reads it and tasks get its bytes."""
     with open(path, "rb") as f:
@@ -180,32 +198,39 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([_packed(where)], pa.binary())], ["block", "keys", "counts", "places"])
 
     def encode_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge, last, ids = _encoding(held.value, pattern).encode_ordinary, None, b""
+        merge, last, ids = _encoding(held.value, pattern).encode_ordinary, None, []
+        blocks, numbers, out, size = [], [], [], 0
         for batch in batches:
-            out = []
             for word in batch.column("word").to_pylist():
                 if word != last:
-                    last, ids = word, np.array(merge(word.decode()), "<u4").tobytes()
+                    last, ids = word, merge(word.decode())
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), pa.array(out, pa.binary())], ["block", "number", "ids"])
+            blocks.append(batch.column("block").to_numpy())
+            numbers.append(batch.column("number").to_numpy())
+            if len(out) >= PACK_WORDS:
+                yield _pack(np.concatenate(blocks), np.concatenate(numbers), out)
+                blocks, numbers, out = [], [], []
+        if out:
+            yield _pack(np.concatenate(blocks), np.concatenate(numbers), out)
 
     def place(places: pa.Table, words: pa.Table) -> pa.Table:
         keys, counts = (places.column(c).combine_chunks().flatten() for c in ("keys", "counts"))
         where = _unpacked(places.column("places")[0].as_py()) if places.num_rows else np.zeros(0, np.uint32)
-        if places.num_rows != 1 or words.num_rows != (int(where.max()) + 1 if len(where) else 0):
+        numbers, sizes, flat = (np.concatenate([np.zeros(0, np.uint32), *map(_unpacked, words.column(c).to_pylist())]) for c in ("numbers", "sizes", "ids"))
+        if places.num_rows != 1 or len(numbers) != (int(where.max()) + 1 if len(where) else 0):
             raise RuntimeError("rows were dealt differently in two passes: write the table first and pass its scan")
-        order = np.empty(words.num_rows, np.int64)
-        order[words.column("number").to_numpy()] = np.arange(words.num_rows)
-        ids = words.column("ids").combine_chunks().take(pa.array(order[where]))
-        bounds = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy() // 4, dtype=np.int64)])
-        flat = np.frombuffer(_content(ids), "<i4")
-        ends = np.concatenate([[0], np.cumsum(counts.to_numpy())])
-        lists = pa.ListArray.from_arrays(pa.array(bounds[ends].astype(np.int32)), pa.array(flat))
-        return pa.table({key: keys, "ids": lists})
+        order = np.empty(len(numbers), np.uint32)
+        order[numbers] = np.arange(len(numbers), dtype=np.uint32)
+        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64) * 4]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(flat.astype("<i4"))])
+        where = order[where]
+        ends = np.concatenate([[0], np.cumsum(sizes[where], dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts.to_numpy())])]
+        ids = np.frombuffer(_content(coded.take(pa.array(where))), "<i4")
+        return pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))})
 
     slim = docs.select(key, "text")
     words = slim.mapInArrow(list_words, "block long, number int, word binary")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_runs, "block long, number int, ids binary")
+    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_runs, "block long, numbers binary, sizes binary, ids binary")
     places = slim.mapInArrow(list_places, f"block long, keys array<{kind}>, counts array<long>, places binary")
     return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(place, f"`{key}` {kind}, ids array<int>")
 
