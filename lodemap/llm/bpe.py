@@ -24,7 +24,7 @@ import tiktoken
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from lodemap.llm.common import slices
 
@@ -266,3 +266,11 @@ def decode(encoded: DataFrame, ranks: bytes, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(key), lists, pa.array(out, pa.binary())], [key, "ids", "bytes"])
 
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids array<int>, bytes binary")
+
+
+def digests(docs: DataFrame, ranks: bytes, pattern: str, *more: str, key: str = "doc_id") -> DataFrame:
+    """`key`, n_tokens, SHA-256 of the ids and of the decoded bytes, and `more` of ids and bytes."""
+    return decode(encode(docs, ranks, pattern, key), ranks, key).select(
+        key, F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"), *more)

@@ -343,6 +343,21 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
         key, F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, joined: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose `key` names its component; of rows with one such key one stays.
+
+    Rows with null keys stay. `joined` is what `join` returns for `docs`.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    again = joined.groupBy(key).agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    ids = scratch.table(again.where(F.col(key).isNotNull() & ((F.col("low") != F.col(key)) | (F.col("rows") > 1))), "ids")
+    kept = docs.join(ids.select(key), key, "left_anti").select(docs.columns)
+    repeated = ids.where(F.col("low") == F.col(key))
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated.select(key), key, "left_semi").dropDuplicates([key]).select(docs.columns))
+
+
 def _tables(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
     """Runs of equal keys (numbers) of sorted batches."""
     held: list[pa.RecordBatch] = []

@@ -149,9 +149,8 @@ def identify(docs: DataFrame, trees: Trees, key: str = "doc_id") -> DataFrame:
 
 def known_language(docs: DataFrame, trees: Trees) -> DataFrame:
     """The rows of `docs` whose text is in a learned language, with all their columns."""
-    inner = docs.withColumn("_row", F.struct(*docs.columns))
-    kept = identify(inner.select(F.col("_row").alias("doc"), "text"), trees, "doc")
-    return kept.where(F.col("lang_pred") != UNKNOWN).select("doc.*")
+    rows = docs.select(F.struct(F.col("*")).alias("doc"), "text")
+    return identify(rows, trees, "doc").where(F.col("lang_pred") != UNKNOWN).select("doc.*")
 
 
 def split_fit(docs: DataFrame, buckets: int = 4, held: int = 2) -> Trees:

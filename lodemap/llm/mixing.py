@@ -192,6 +192,6 @@ def written_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken, with the columns of `docs`."""
     plans = plan(written_sizes(docs, seed), weights, share, most)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", size().alias("size"), _draw(seed).alias("draw"))
+    rows = docs.select(F.struct(F.col("*")).alias("doc"), "source", size().alias("size"), _draw(seed).alias("draw"))
     taken = copies(rows, plans).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("doc.*")

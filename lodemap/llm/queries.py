@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.llm import bpe, cap_filters, jaccard_join, langid, mixing, rotated_codes, token_files, toxicity, url_filter
+from lodemap.llm import bpe, cap_filters, jaccard_join, langid, licenses, mixing, rotated_codes, token_files, toxicity, url_filter
 from lodemap.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +31,7 @@ def _held_out(buckets: int, held: int):
 @query
 def op1_bpe(spark, folder):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(_documents(spark, folder), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"))
+    return bpe.digests(_documents(spark, folder), ranks, public_tokenizers.PATTERN)
 
 
 @query
@@ -44,6 +40,12 @@ def op2_rotated_codes(spark, folder):
     return rotated_codes.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query
+def op3_licenses(spark, folder):
+    docs = _documents(spark, folder)
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 @query
 def op4_mixing(spark, folder):
     sized = mixing.written_sizes(_documents(spark, folder))
