@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lodemap.llm.common import bucket_of, find, hash_words, mix, seeded_sample, slices, words_of
+from lodemap.scratch import Scratch
 
 #: Labelled documents of each class that are used, about: FIT_SHARE for the models, the rest for the curve.
 FIT_DOCUMENTS = 6000
@@ -161,10 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS)
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = seeded_sample(marks, "toxic", "doc_id", fit_documents, "toxicity").withColumn(
         "fit", F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1000)) < int(1000 * FIT_SHARE))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    chosen = scratch.table(chosen, "chosen")  # bounded by the sample: texts need not be shuffled to meet it
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(chosen, "doc_id").persist()
     counted = texts.where("fit").select("toxic", "text").mapInArrow(_count_ngrams, "toxic int, before long, word long, pair long, n long")
     pairs = counted.groupBy("pair", "before", "word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
+    pairs = scratch.table(pairs, "pairs")
     used = F.greatest("t", "o") > DISCOUNT
     kinds = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("t", "o")]
     each = pairs.groupBy("word").agg(*kinds)
@@ -237,5 +241,5 @@ def split_fit(docs: DataFrame, labels: DataFrame, buckets: int = 3, held: int =
 
 def not_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, with all their columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    rows = docs.select(F.struct(F.col("*")).alias("doc"), "text")
     return toxicity(rows, model, "doc").where("predicted = 0").select("doc.*")
