@@ -256,8 +256,10 @@ def decode(encoded: DataFrame, ranks: bytes, key: str = "doc_id") -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 lists = part.column("ids")
-                found = tokens.take(lists.flatten())
-                if found.null_count:
+                flat = lists.flatten()
+                inside = not len(flat) or 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < len(tokens)
+                found = tokens.take(flat) if inside else tokens
+                if not inside or found.null_count:
                     raise ValueError("an id is not in the token-byte table")
                 at = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(), dtype=np.int64)])
                 ends = at[np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy()]))]
