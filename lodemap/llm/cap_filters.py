@@ -26,9 +26,9 @@ from lodemap.llm.rotated_codes import usable
 from lodemap.operators.graph import components
 from lodemap.scratch import Scratch
 
-PARTS = 4
+PARTS = 2
 #: Filters that a vector is expected to pass, and the fewest: below it, its best ones are taken.
-PASSED, FEWEST = 20, 8
+PASSED, FEWEST = 30, 20
 #: Vectors of a label in a bucket, about; rows of a block of a larger bucket.
 LOAD, BLOCK = 24, 512
 SEED = 11

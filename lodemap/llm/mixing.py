@@ -20,7 +20,7 @@ from lodemap.scratch import Scratch
 #: Fixed values of the mix: weights by the order of sources, share of all sizes, most copies.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Words that the knapsack table covers.
-TABLE = 1 << 16
+TABLE = 1 << 18
 #: Documents of one source and length in a bucket that is ranked, about.
 GROUP = 1000
 SEED = "mix"

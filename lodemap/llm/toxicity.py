@@ -44,6 +44,7 @@ class Model(NamedTuple):
 
     words: np.ndarray
     low: np.ndarray      # of a known word, below bigrams
+    contexts: np.ndarray
     back: np.ndarray     # backoff weight of a known context, the same for both
     pairs: np.ndarray
     high: np.ndarray     # what a known bigram adds
@@ -53,12 +54,12 @@ class Model(NamedTuple):
     def ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Text of each word, and the difference of its log-probabilities, toxic less ordinary."""
         row, before, word, pair = _ngrams(texts)
-        if not len(self.words):
-            return row, np.zeros(len(row))
         at, known = find(self.words, word)
-        low = np.where(known[:, None], self.low[at], self.unseen)
-        at, known = find(self.words, before)
-        back = np.where(known, self.back[at], 1.0)
+        low = np.full((len(word), 2), self.unseen)
+        low[known] = self.low[at[known]]
+        at, known = find(self.contexts, before)
+        back = np.ones(len(word))
+        back[known] = self.back[at[known]]
         at, known = find(self.pairs, pair)
         p = low * back[:, None]
         p[known] += self.high[at[known]]
@@ -191,17 +192,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS)
     low = np.maximum(known[["t", "o"]].to_numpy(float) - DISCOUNT, 0) / [types["t"], types["o"]] + rest * shared[:, None]
     unseen = rest / (whole + len(words) + 1)
 
-    at, has = find(words, context["before"].to_numpy().view(np.uint64))
-    total, varied = np.zeros((len(words), 2)), np.zeros(len(words))
-    total[at[has]] = context[["t", "o"]].to_numpy()[has]
-    varied[at[has]] = context["kinds"].to_numpy()[has]
-    back = np.where(varied > 0, np.minimum(1, DISCOUNT * varied / np.maximum(total.sum(1), 1)), 1.0)
-    at, has = find(words, high["before"].to_numpy().view(np.uint64))
+    contexts = context["before"].to_numpy().view(np.uint64)
+    order = np.argsort(contexts)
+    contexts, context = contexts[order], context.iloc[order]
+    total = context[["t", "o"]].to_numpy(float)
+    back = np.minimum(1, DISCOUNT * context["kinds"].to_numpy(float) / np.maximum(total.sum(1), 1))
+    at, has = find(contexts, high["before"].to_numpy().view(np.uint64))
     high = high[has]
     adds = np.maximum(high[["t", "o"]].to_numpy(float) - DISCOUNT, 0) / (total[at[has]] + DISCOUNT)
     keys = high["pair"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = Model(words, low, back, keys[order], adds[order], unseen, np.zeros(4))
+    model = Model(words, low, contexts, back, keys[order], adds[order], unseen, np.zeros(4))
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
