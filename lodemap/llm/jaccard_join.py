@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodemap.llm.common import find, hash_words, mix, slices, words_of
 from lodemap.operators.graph import components
@@ -36,6 +36,7 @@ COMMON = 1 << 16
 #: Sets of a list that gives all its pairs; sets of a block of a longer one; bits of a bitmap.
 SHORT, BLOCK, BITS = 32, 256, 2048
 CLASS_BITS = 6
+FILTER_BITS = 1 << 20
 
 
 def overlap(a, b, least: int = LEAST):
@@ -149,6 +150,42 @@ def _identity(keys: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(keys.tobytes())).view(np.int64))
 
 
+def _bitmap(keys: np.ndarray) -> bytes:
+    """Parity of the number of keys at each of BITS places."""
+    return np.packbits(np.bincount((keys % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _allowed(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: int) -> np.ndarray:
+    """Whether sets of sizes n and m may link: bitmaps differ in no more places than their sets in keys."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= n + m - 2 * overlap(n, m, least)
+
+
+def _may_link(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64) for c in "ab")
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in "nm")
+            yield batch.select(["src", "dst"]).filter(pa.array(_allowed(a, b, n, m, least)))
+
+    return run
+
+
+def _perhaps_among(ids: DataFrame, key: str) -> Column:
+    """A test that every row with one of `ids` passes, and few others while ids are few.
+
+    One bit for each hash value: FILTER_BITS of them, whatever the number of ids, so that texts of
+    most other rows need not be shuffled.
+    """
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
+    words = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 8).cast("int").alias("byte")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))).alias("bits")).collect()
+    bits = bytearray(FILTER_BITS // 8)
+    for r in words:
+        bits[r["byte"]] = r["bits"]
+    byte = F.conv(F.hex(F.substr(F.lit(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
 def _keys(keys: np.ndarray, light: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a set's lists, its place there, and whether the list is of single shingles."""
     n = len(keys)
@@ -233,21 +270,22 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
     def sizes_and_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(*held.value), set()
         for batch in slices(batches):
-            n, nodes, lists = [], [], []
+            n, nodes, lists, bits = [], [], [], []
             for named, keys in zip(pc.is_valid(batch.column(key)).to_pylist(), shingler.sets(batch.column("text"))):
                 n.append(len(keys))
                 nodes.append(_identity(keys) if named and len(keys) else None)
                 new = nodes[-1] is not None and nodes[-1] not in seen  # copies in a task are listed once
                 seen.add(nodes[-1])
+                bits.append(_bitmap(keys) if new else None)
                 lists.append(_keys(keys, light, least) if new else _keys(keys[:0], light, least))
             where = [len(k) for k, _, _ in lists]
             ends = pa.array(np.concatenate([[0], np.cumsum(where)]).astype(np.int32))
             columns = [_signed(np.concatenate([k for k, _, _ in lists])), pa.array(np.concatenate([a for _, a, _ in lists])), pa.array(np.concatenate([s for _, _, s in lists]))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), *(pa.ListArray.from_arrays(ends, c) for c in columns)],
-                [key, "n", "node", "keys", "at", "single"])
+                [batch.column(key), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), *(pa.ListArray.from_arrays(ends, c) for c in columns)],
+                [key, "n", "node", "bits", "keys", "at", "single"])
 
-    marked = docs.select(key, "text").mapInArrow(sizes_and_keys, f"`{key}` {kind}, n int, node long, keys array<long>, at array<int>, single array<boolean>")
+    marked = docs.select(key, "text").mapInArrow(sizes_and_keys, f"`{key}` {kind}, n int, node long, bits binary, keys array<long>, at array<int>, single array<boolean>")
     marked = scratch.table(marked, "marks")
     entries = marked.where("n > 0 AND size(keys) > 0").select("node", "n", F.explode(F.arrays_zip("keys", "at", "single")).alias("e"))
     entries = entries.select(F.col("e.keys").alias("key"), "node", "n", F.col("e.at").alias("at"), F.col("e.single").alias("single"))
@@ -280,39 +318,43 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
 
     found = scratch.table(lists.mapInArrow(list_pairs, "src long, dst long, key long, n int, at int, single boolean"), "found")
     pairs = scratch.table(found.where("dst IS NOT NULL").select("src", "dst").distinct(), "pairs")
-    # the sets of every node of a pair or a long list, from one document that has it
-    wanted = found.select("src").union(pairs.select(F.col("dst").alias("src"))).distinct().select(F.col("src").alias("node"))
-    holders = scratch.table(marked.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias(key)).join(wanted, "node", "left_semi"), "holders")
+    long = scratch.table(found.where("dst IS NULL").select("key", F.col("src").alias("node"), "n", "at", "single"), "long")
+    maps = scratch.table(marked.where("bits IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), "bitmaps")
+    # pairs whose bitmaps allow the overlap; then the sets of their nodes and those of long lists, each from one document
+    both = pairs.join(maps.select(F.col("node").alias("dst"), F.col("bits").alias("b"), F.col("n").alias("m")), "dst").join(
+        maps.select(F.col("node").alias("src"), F.col("bits").alias("a"), "n"), "src")
+    pairs = scratch.table(both.mapInArrow(_may_link(least), "src long, dst long"), "likely")
+    wanted = pairs.select("src").union(pairs.select("dst")).union(long.select("node")).distinct().withColumnRenamed("src", "node")
+    holders = scratch.table(marked.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias(key)).join(wanted, "node", "left_semi").select(key), "holders")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(*held.value)
+        shingler, seen = Shingler(*held.value), set()
         for batch in slices(batches):
-            sets = list(shingler.sets(batch.column("text")))
-            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            bits = [np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_identity(s) for s in sets]), pa.ListArray.from_arrays(ends, _signed(np.concatenate(sets))), pa.array(bits)], ["node", "keys", "bits"])
+            sets = {_identity(s): s for s in shingler.sets(batch.column("text"))}
+            sets = [(node, s) for node, s in sets.items() if node not in seen]
+            seen.update(node for node, _ in sets)
+            ends = pa.array(np.cumsum([0, *(len(s) for _, s in sets)]).astype(np.int32))
+            flat = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in sets)])
+            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in sets], pa.int64()), pa.ListArray.from_arrays(ends, _signed(flat))], ["node", "keys"])
 
-    chosen = docs.where("text IS NOT NULL").select(key, "text").join(holders.select(key), key, "left_semi").select("text")
-    sets = scratch.table(chosen.mapInArrow(contents, "node long, keys array<long>, bits binary").dropDuplicates(["node"]), "sets")
+    chosen = docs.where(_perhaps_among(holders, key)).select(key, "text").join(holders, key, "left_semi").select("text")
+    sets = scratch.table(chosen.mapInArrow(contents, "node long, keys array<long>"), "sets")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that link, exactly."""
-        content = sets.select("node", "keys")
-        both = pairs.join(content.select(F.col("node").alias("dst"), F.col("keys").alias("b")), "dst").join(
-            content.select(F.col("node").alias("src"), F.col("keys").alias("a")), "src")
+        both = pairs.join(sets.select(F.col("node").alias("dst"), F.col("keys").alias("b")), "dst").join(
+            sets.select(F.col("node").alias("src"), F.col("keys").alias("a")), "src")
         common = F.size(F.array_intersect("a", "b"))
         return scratch.table(both.where(100 * common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst"), name)
 
-    nodes = sets.select("node")
+    nodes = sets.select("node").distinct()
     edges = links(pairs, "links")
-    long = scratch.table(found.where("dst IS NULL").select("key", F.col("src").alias("node"), "n", "at", "single"), "long")
     if not long.isEmpty():
         first = scratch.table(components(nodes, edges), "first")
         torn = long.join(first, "node")
         open_ = scratch.table(torn.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("key", "m"), "open")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        dealt = scratch.table(torn, "torn").join(open_, "key").join(sets.select("node", "bits"), "node").withColumn("blocks", blocks)
+        dealt = scratch.table(torn, "torn").join(open_, "key").join(maps.select("node", "bits"), "node").withColumn("blocks", blocks)
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "at", "single", "comp", "bits")
 
@@ -326,8 +368,7 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
                 keep = np.zeros(len(a), bool)
                 for s in range(0, len(a), 1 << 14):
                     x, y = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
-                    differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-                    keep[s : s + len(x)] = differ <= n[x] + n[y] - 2 * overlap(n[x], n[y], least)
+                    keep[s : s + len(x)] = _allowed(bits[x], bits[y], n[x], n[y], least)
                 if keep.any():
                     yield _pairs_batch(node[a[keep]], node[b[keep]])
 

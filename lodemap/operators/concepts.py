@@ -78,18 +78,20 @@ def term_stats(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def vocabulary(stats: DataFrame, n_units: Column | int, min_df: int = 2, max_df_frac: float = 0.2, top: int = 500) -> DataFrame:
-    """Concepts within the df band, most frequent first, at most `top` of them.
+def vocabulary(stats: DataFrame, n_units: Column | int, min_df: int = 2, max_df_frac: float = 0.2, *, top: int | None) -> DataFrame:
+    """Concepts within the df band; with a `top`, the most frequent ones, numbered by `cid`.
 
-    `cid` numbers them 0..top-1 in that order. The numbering window sees `top` rows only.
+    `cid` runs from 0 to top - 1, most frequent first; its window sees `top` rows only. Without
+    a `top` there is no `cid`: only pair counting needs one, and a bounded vocabulary with it.
     """
     limit = n_units if isinstance(n_units, Column) else F.lit(n_units)
     kept = (
         stats.where(F.col("df") >= min_df)
         .where(F.col("df") <= F.lit(max_df_frac) * limit)
-        .orderBy(F.desc("df"), "concept")
-        .limit(top)
     )
+    if top is None:
+        return kept.select("concept", "tf", "df")
+    kept = kept.orderBy(F.desc("df"), "concept").limit(top)
     order = Window.orderBy(F.desc("df"), "concept")
     return kept.select("concept", "tf", "df", (F.row_number().over(order) - 1).alias("cid"))
 
@@ -99,8 +101,8 @@ def mentions(units: DataFrame, vocab: DataFrame) -> DataFrame:
     keys = _keys(units)
     return (
         tokens(units)
-        .join(vocab.select(F.col("concept").alias("tok"), "cid"), "tok")
-        .groupBy(*keys, F.col("tok").alias("concept"), "cid")
+        .join(vocab.select(F.col("concept").alias("tok")), "tok")
+        .groupBy(*keys, F.col("tok").alias("concept"))
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -130,6 +132,22 @@ def concept_sets(units: DataFrame, vocab: DataFrame, marker: int | None = None)
     )
 
 
+def quality_semi(docs: DataFrame, good: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents whose key is in `good`. Documents without a mark are not in it."""
+    return docs.join(good.select(key).distinct(), key, "left_semi")
+
+
+def dedup_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, copies: the smallest key of each text and how many documents have it.
+
+    Texts meet by a 256-bit hash, so that no text is shuffled, and counts combine in each task.
+    """
+    return (
+        docs.groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("hash"))
+        .agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies")).drop("hash")
+    )
+
+
 def stopword_anti(toks: DataFrame, stop: DataFrame) -> DataFrame:
     """Tokens that are not in the stop list (column `concept`)."""
     return toks.join(stop.select(F.col("concept").alias("tok")), "tok", "left_anti")

@@ -91,10 +91,14 @@ def layout_force(nodes: DataFrame, edges: DataFrame, rounds: int = 10, seed: int
 
 
 def _cell(axis: str, zoom: Column, low: float, high: float) -> Column:
-    """Cell number of a coordinate at a zoom level: 2^zoom cells over [low, high)."""
+    """Cell number of a coordinate at a zoom level: 2^zoom cells over [low, high].
+
+    Coordinates outside have cells of their own, below 0 or from 2^zoom on: nothing is counted
+    in a border cell that is not in it.
+    """
     cells = F.pow(F.lit(2.0), zoom)
     at = F.floor((F.col(axis) - low) / (high - low) * cells)
-    return F.greatest(F.lit(0), F.least(at, cells - 1)).cast("int")
+    return F.when(F.col(axis) == high, cells - 1).otherwise(at).cast("int")
 
 
 def tiles(nodes: DataFrame, z_max: int, k: int, low: float = -1.0, high: float = 1.0) -> DataFrame:

@@ -9,6 +9,8 @@ Aggregations combine on the map side, so a hub is never gathered in one task.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from lodemap.operators.relate import both_ways
@@ -28,15 +30,18 @@ def degrees(edges: DataFrame, weight: str = "w") -> DataFrame:
     )
 
 
-def _stars(pairs: DataFrame, large: bool) -> DataFrame:
-    """One star step: connect each node's larger (or smaller) neighbours to its minimum."""
+def _stars(pairs: DataFrame, large: bool, scratch: Scratch, name: str) -> DataFrame:
+    """One star step: connect each node's larger (or smaller) neighbours to its minimum.
+
+    The minima are written first: a join of two scans is one that Spark can split at a hub.
+    """
     if large:
         ends = both_ways(pairs)
-        low = ends.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+        low = scratch.table(ends.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), name)
         moved = ends.where(F.col("dst") > F.col("src")).join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     else:
         down = pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        low = down.groupBy("src").agg(F.min("dst").alias("m"))
+        low = scratch.table(down.groupBy("src").agg(F.min("dst").alias("m")), name)
         moved = down.join(low, "src").select(F.inline(F.array(
             F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")),
             F.struct(F.col("src").alias("src"), F.col("m").alias("dst")),
@@ -63,8 +68,10 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> Data
     scratch = Scratch(edges.sparkSession, "components")
     pairs = scratch.table(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "r0")
     for i in range(1, max_rounds + 1):
-        pairs = scratch.table(_stars(_stars(pairs, large=True), large=False), f"r{i}")
-        scratch.drop(f"r{i - 1}")
+        half = scratch.table(_stars(pairs, True, scratch, f"a{i}"), f"h{i}")
+        pairs = scratch.table(_stars(half, False, scratch, f"b{i}"), f"r{i}")
+        for old in (f"r{i - 1}", f"a{i}", f"h{i}", f"b{i}"):
+            scratch.drop(old)
         if _only_stars(pairs):
             break
     else:
@@ -226,24 +233,28 @@ def quotient(edges: DataFrame, labels: DataFrame, weight: str = "w") -> DataFram
     )
 
 
-def k_core(edges: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
-    """Edges of the k-core: nodes of degree below k are dropped until none is left."""
+def k_core(edges: DataFrame, k: int) -> DataFrame:
+    """Edges of the k-core: nodes of degree below k are dropped until none is left.
+
+    A round peels one layer and writes what stays; there are as many as the graph has layers.
+    """
     scratch = Scratch(edges.sparkSession, "core")
     kept = scratch.table(edges, "r0")
     size = kept.count()
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         strong = both_ways(kept).groupBy("src").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") >= k).select("src")
+        strong = scratch.table(strong, f"s{i}")
         after = scratch.table(
             kept.join(strong, "src", "left_semi").join(strong.withColumnRenamed("src", "dst"), "dst", "left_semi").select(*kept.columns),
             f"r{i}",
         )
         n = after.count()
         scratch.drop(f"r{i - 1}")
+        scratch.drop(f"s{i}")
         kept = after
         if n == size:
             return kept
         size = n
-    raise NotConverged(f"k_core after {max_rounds} rounds")
 
 
 def _jump(pointers: DataFrame) -> DataFrame:

@@ -94,14 +94,14 @@ def agreement(assigned: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def topics(units: DataFrame, k: int, seed: int = 1, vocab_size: int = 2000, rounds: int = 10, n_terms: int = 10) -> DataFrame:
+def topics(units: DataFrame, k: int, seed: int = 1, vocab_size: int = 1 << 18, rounds: int = 10, n_terms: int = 10) -> DataFrame:
     """topic, rank, concept, weight: the heaviest terms of each LDA topic.
 
-    `units` has toks. CountVectorizer keeps the `vocab_size` most frequent terms; the
-    model's term matrix is k x vocab_size, a size set by arguments and not by the data.
+    `units` has toks. Every round reads all units. Terms are those in at least 2 units and at
+    most half of them; `vocab_size` bounds the model's term matrix, not the choice of terms.
     """
-    counted = CountVectorizer(inputCol="toks", outputCol="features", vocabSize=vocab_size, minDF=2).fit(units)
-    model = LDA(k=k, seed=seed, maxIter=rounds, optimizer="online", featuresCol="features").fit(counted.transform(units))
+    counted = CountVectorizer(inputCol="toks", outputCol="features", vocabSize=vocab_size, minDF=2, maxDF=0.5).fit(units)
+    model = LDA(k=k, seed=seed, maxIter=rounds, optimizer="online", subsamplingRate=1.0, featuresCol="features").fit(counted.transform(units))
     terms = units.sparkSession.createDataFrame(list(enumerate(counted.vocabulary)), "term int, concept string")
     return (
         model.describeTopics(n_terms)

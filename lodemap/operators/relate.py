@@ -29,12 +29,20 @@ def _named(counts: DataFrame, vocab: DataFrame, left: str, right: str) -> DataFr
     return counts.join(one, "a").join(two, "b").drop("a", "b")
 
 
+def _checked(vocab: DataFrame, width: int) -> DataFrame:
+    """The vocabulary, if its ids are below `width`; one number is read from the written table."""
+    most = vocab.agg(F.max("cid")).first()[0]
+    if most is not None and most >= width:
+        raise ValueError(f"width {width} is too small for a vocabulary with ids up to {most}")
+    return vocab
+
+
 def cooccur_bag(units: DataFrame, vocab: DataFrame, width: int) -> DataFrame:
     """Edges src, dst, n: in how many units both concepts occur. No unit is too large.
 
     `width` is the size of the vocabulary (its ids are 0..width-1).
     """
-    rows = concept_sets(units, vocab).select(F.col("ids").alias("l"), F.col("ids").alias("r"))
+    rows = concept_sets(units, _checked(vocab, width)).select(F.col("ids").alias("l"), F.col("ids").alias("r"))
     named = _named(pair_counts(rows, width, upper=True).drop("grp"), vocab, "x", "y")
     return named.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "n")
 
@@ -92,7 +100,7 @@ def cue_response(turns: DataFrame, vocab: DataFrame, width: int, min_n: int = 1)
     marker id in every set makes the same pass count the margins and P.
     """
     scratch = Scratch(turns.sparkSession, "arcs")
-    sets = scratch.table(_turn_sets(turns, vocab, marker=width), "sets")
+    sets = scratch.table(_turn_sets(turns, _checked(vocab, width), marker=width), "sets")
     cues = sets.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("ids").alias("l"))
     replies = sets.where("role = 'assistant'").select("conv_id", "turn", F.col("ids").alias("r"))
     rows = cues.join(replies, ["conv_id", "turn"])
@@ -117,7 +125,7 @@ def cue_response(turns: DataFrame, vocab: DataFrame, width: int, min_n: int = 1)
 
 def lagged_arcs(turns: DataFrame, vocab: DataFrame, width: int, k: int, min_n: int = 1) -> DataFrame:
     """Arcs per lag 1..k: pairs of turns that far apart with the cue earlier, the response later."""
-    sets = Scratch(turns.sparkSession, "lags").table(_turn_sets(turns, vocab), "sets")
+    sets = Scratch(turns.sparkSession, "lags").table(_turn_sets(turns, _checked(vocab, width)), "sets")
     lags = F.explode(F.sequence(F.lit(1), F.lit(k)))
     early = sets.select("conv_id", "turn", F.col("ids").alias("l"), lags.alias("lag"))
     early = early.select("conv_id", (F.col("turn") + F.col("lag")).alias("turn"), "lag", "l")

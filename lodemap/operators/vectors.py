@@ -182,45 +182,39 @@ def knn_exact(vectors: DataFrame, k: int, block_rows: int = BLOCK) -> DataFrame:
 
 
 def knn_approx(
-    vectors: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 4, seed: int = 7,
-    block_rows: int = BLOCK, crowded: int = 8 * BLOCK, more_bits: int = 12,
+    vectors: DataFrame, k: int, dim: int, tables: int, bits: int, seed: int = 7, block_rows: int = BLOCK,
 ) -> DataFrame:
     """As `knn_exact` over candidates that share a bucket in one of `tables` hash tables.
 
-    A bucket is the sign pattern of `bits` fixed random planes. A bucket of over `crowded`
-    rows is hashed by `more_bits` further planes, so that one dense region does not cost the
-    square of its size; what is still together then is cut into blocks and compared whole.
+    A bucket is the sign pattern of `bits` fixed random planes, whatever the number of vectors:
+    the caller's `bits` and `tables` settle cost and recall, and candidates stay candidates as
+    the table grows. A bucket of any size is cut into blocks and compared whole.
     """
     scratch = Scratch(vectors.sparkSession, "lsh")
     distinct = _distinct(vectors, scratch)
-    dealt = _hashed(distinct, scratch, dim, tables, bits, seed, block_rows, crowded, more_bits)
+    dealt = _hashed(distinct, scratch, dim, tables, bits, seed, block_rows)
     found = _knn(dealt, F.col("blocks"), k).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
     return _with_copies(vectors, distinct, found, k, scratch)
 
 
-def _hashed(distinct, scratch: Scratch, dim, tables, bits, seed, block_rows, crowded, more_bits) -> DataFrame:
+def _hashed(distinct, scratch: Scratch, dim, tables, bits, seed, block_rows) -> DataFrame:
     """bucket, vec_id, v, blocks: every vector once per hash table."""
-    planes = np.random.default_rng(seed).normal(size=(tables * (bits + more_bits), dim)).tolist()
-    codes = distinct.select("vec_id", F.posexplode(_signatures(planes, tables)("v")).alias("tab", "code"))
-    low = F.xxhash64("tab", F.pmod("code", F.lit(1 << bits)))
-    rows = scratch.table(codes.withColumn("low", low), "codes")
-    sizes = scratch.table(rows.groupBy("low").agg((F.count(F.lit(1)) > crowded).alias("full")), "sizes")
-    bucket = F.when(F.col("full"), F.xxhash64("tab", "code")).otherwise(F.col("low"))
-    bucketed = scratch.table(rows.join(sizes, "low").select("vec_id", bucket.alias("bucket")), "buckets")
-    scratch.drop("codes")
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, dim)).tolist()
+    codes = distinct.select("vec_id", F.posexplode(_signatures(planes, tables, bits)("v")).alias("tab", "code"))
+    bucketed = scratch.table(codes.select("vec_id", F.xxhash64("tab", "code").alias("bucket")), "buckets")
     blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
     counts = scratch.table(bucketed.groupBy("bucket").agg(blocks.alias("blocks")), "counts")
     return bucketed.join(counts, "bucket").join(distinct.select("vec_id", "v"), "vec_id")
 
 
-def _signatures(planes: list[list[float]], tables: int) -> Callable:
+def _signatures(planes: list[list[float]], tables: int, bits: int) -> Callable:
     """Per hash table one code: bit i is the side of its plane i."""
 
     @F.pandas_udf("array<long>")
     def codes(v: pd.Series) -> pd.Series:
-        signs = np.stack(v.to_numpy()) @ np.array(planes).T > 0
-        signs = signs.reshape(len(signs), tables, -1)
-        return pd.Series(list(signs @ (1 << np.arange(signs.shape[2]))))
+        vectors = np.stack(v.to_numpy())
+        signs = vectors @ np.array(planes).reshape(tables * bits, vectors.shape[1]).T > 0
+        return pd.Series(list(signs.reshape(len(signs), tables, bits) @ (1 << np.arange(bits))))
 
     return codes
 
@@ -265,13 +259,12 @@ def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK) -> Da
 
 
 def similar_pairs_approx(
-    vectors: DataFrame, tau: float, dim: int, tables: int = 8, bits: int = 4, seed: int = 7,
-    block_rows: int = BLOCK, crowded: int = 8 * BLOCK, more_bits: int = 12,
+    vectors: DataFrame, tau: float, dim: int, tables: int, bits: int, seed: int = 7, block_rows: int = BLOCK,
 ) -> DataFrame:
     """As `similar_pairs`, over the candidates of `knn_approx`: no wrong pair, some missing."""
     scratch = Scratch(vectors.sparkSession, "similar")
     distinct = _distinct(vectors, scratch)
-    dealt = _hashed(distinct, scratch, dim, tables, bits, seed, block_rows, crowded, more_bits)
+    dealt = _hashed(distinct, scratch, dim, tables, bits, seed, block_rows)
     found = _blocked(dealt, F.col("blocks"), _over(tau), "src long, dst long, sim double")
     return _with_stars(vectors, distinct, found.groupBy("src", "dst").agg(F.max("sim").alias("sim")))
 

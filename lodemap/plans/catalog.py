@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodemap.functions import text as tx
 from lodemap.operators import compare as M, concepts as C, display as D, graph as G, groups as E, relate as R, vectors as V
 from lodemap.plans import maps
-from lodemap.plans.maps import DOC_BAND, TURN_BAND
+from lodemap.plans.maps import DOC_BAND, TURN_BAND, WHOLE_BAND
 from lodemap.scratch import Scratch
 from lodemap.sources import parse_relations, read_documents, read_turns, read_vectors, stream_events, write_map
 from lodemap.sources.readers import read_events
@@ -144,18 +144,18 @@ def term_stats(spark, folder):
 
 @query
 def term_stats_by_lang(spark, folder):
-    return C.term_stats(maps.doc_units(spark, folder), by=["lang"]).where(F.col("df") >= 2)
+    return C.term_stats(maps.doc_units(spark, folder), by=["lang"])
 
 
 @query
 def vocabulary(spark, folder):
     units = maps.doc_units(spark, folder)
-    return C.vocabulary(C.term_stats(units), C.unit_count(units), DOC_BAND.min_df, DOC_BAND.max_df_frac, DOC_BAND.top)
+    return C.vocabulary(C.term_stats(units), C.unit_count(units), DOC_BAND.min_df, DOC_BAND.max_df_frac, top=DOC_BAND.top)
 
 
 def _doc_mentions(spark, folder):
     units = maps.doc_units(spark, folder)
-    vocab = maps.written_vocabulary(units, DOC_BAND)
+    vocab = maps.written_vocabulary(units, WHOLE_BAND)
     return C.mentions(units, vocab), vocab, units
 
 
@@ -164,6 +164,19 @@ def mentions(spark, folder):
     return _doc_mentions(spark, folder)[0].select("doc_id", "concept", "tf")
 
 
+@query
+def quality_semi(spark, folder):
+    """Documents that are marked as good, as a choice of what a map is made from."""
+    good = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1")
+    return C.quality_semi(read_documents(spark, folder), good).select("doc_id", "source")
+
+
+@query
+def dedup_exact(spark, folder):
+    """One document of each text, so that copies do not count as evidence."""
+    return C.dedup_exact(read_documents(spark, folder))
+
+
 @query
 def stopwords_removed(spark, folder):
     """Turn tokens without the concepts that are in over a tenth of all turns."""
@@ -177,7 +190,7 @@ def stopwords_removed(spark, folder):
 @query
 def tfidf(spark, folder):
     units = maps.turn_units(spark, folder)
-    vocab = maps.written_vocabulary(units, TURN_BAND)
+    vocab = maps.written_vocabulary(units, WHOLE_BAND)
     ment = C.mentions(units, vocab)
     return C.tfidf(ment, vocab, C.unit_count(units)).select("conv_id", "turn", "concept", "tf", "score")
 
@@ -275,13 +288,14 @@ def knn_exact(spark, folder):
 
 @query
 def knn_approx(spark, folder):
-    return V.knn_approx(read_vectors(spark, folder), 5, dim=64)
+    return V.knn_approx(read_vectors(spark, folder), 5, dim=64, tables=16, bits=4)
 
 
 @query
 def knn_recall(spark, folder):
     vectors = read_vectors(spark, folder)
-    return V.recall(V.knn_approx(vectors, 5, dim=64), V.knn_exact(vectors, 5))
+    found = V.recall(V.knn_approx(vectors, 5, dim=64, tables=16, bits=4), V.knn_exact(vectors, 5))
+    return found.select("n_exact", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query
@@ -291,7 +305,7 @@ def similar_pairs(spark, folder):
 
 @query
 def similar_pairs_approx(spark, folder):
-    return V.similar_pairs_approx(read_vectors(spark, folder), 0.4, dim=64)
+    return V.similar_pairs_approx(read_vectors(spark, folder), 0.4, dim=64, tables=16, bits=4)
 
 
 @query
@@ -492,7 +506,7 @@ def map_diff(spark, folder):
 
 @query
 def rank_shift(spark, folder):
-    stats = C.term_stats(maps.turn_units(spark, folder), by=["role"]).where(F.col("df") >= 2)
+    stats = C.term_stats(maps.turn_units(spark, folder), by=["role"])
     return M.rank_shift(Scratch(spark, "ranks").table(stats, "stats"), "role")
 
 

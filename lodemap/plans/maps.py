@@ -13,14 +13,15 @@ from lodemap.sources import read_documents, read_turns, read_vectors
 
 @dataclass(frozen=True)
 class Band:
-    """Which concepts a map has: least df, greatest share of units, and how many at most."""
+    """Which concepts a map has: least df, greatest share of units, and for counting pairs, how many."""
 
     min_df: int = 3
     max_df_frac: float = 0.2
-    top: int = 500
+    top: int | None = None
 
 
-DOC_BAND = Band()
+WHOLE_BAND = Band()
+DOC_BAND = Band(top=500)
 TURN_BAND = Band(top=2000)
 
 
@@ -34,7 +35,7 @@ def turn_units(spark: SparkSession, folder: str) -> DataFrame:
 
 def written_vocabulary(units: DataFrame, band: Band) -> DataFrame:
     """The vocabulary as a written table: its size is known to every join that follows."""
-    vocab = C.vocabulary(C.term_stats(units), C.unit_count(units), band.min_df, band.max_df_frac, band.top)
+    vocab = C.vocabulary(C.term_stats(units), C.unit_count(units), band.min_df, band.max_df_frac, top=band.top)
     return Scratch(units.sparkSession, "vocabulary").table(vocab, "vocab")
 
 

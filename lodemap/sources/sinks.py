@@ -8,8 +8,15 @@ from lodemap.scratch import Scratch
 
 
 def write_map(nodes: DataFrame, edges: DataFrame, path: str, map_id: str) -> None:
-    """Write one map below `path`/nodes and `path`/edges, replacing that map_id only."""
+    """Write one map below `path`/nodes and `path`/edges, replacing that map_id only.
+
+    A table without rows leaves none of the map's earlier ones: its partition is deleted.
+    """
+    spark = nodes.sparkSession
     for name, table in (("nodes", nodes), ("edges", edges)):
+        if table.isEmpty():
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/map_id={map_id}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         (
             table.withColumn("map_id", F.lit(map_id))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -77,3 +77,10 @@ def test_top_concepts_limits_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # partial and final
     assert {r["id"] for r in top.collect()} == {994, 995, 996, 997, 998, 999}
+
+
+def test_quality_and_exact_copies(spark):
+    docs = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, None), (5, None)], "doc_id long, text string")
+    good = spark.createDataFrame([(3, 1), (3, 1), (9, 1)], "doc_id long, quality int")
+    assert [r["doc_id"] for r in C.quality_semi(docs, good).collect()] == [3]
+    assert sorted(tuple(r) for r in C.dedup_exact(docs).collect()) == [(1, 2), (2, 1), (4, 2)]

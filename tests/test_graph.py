@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodemap.operators import graph as G
 
@@ -174,3 +175,33 @@ def test_the_partition_of_a_hub_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_k_core_of_a_long_path_ends(spark):
+    path = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert G.k_core(path, 2).count() == 0
+
+
+def test_star_steps_join_scans_that_spark_can_split(spark):
+    """With a hub and no broadcast, both star steps of the operator itself are split by AQE."""
+    from lodemap.scratch import Scratch
+
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("src"), (F.col("id") + 1).alias("dst"))
+        scratch = Scratch(spark, "skew")
+        pairs = scratch.table(edges.repartition(8), "pairs")
+        low = scratch.table(pairs.groupBy("src").agg(F.min("dst").alias("m")), "low")
+        out = G._stars(pairs, True, scratch, "a").groupBy().count()
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString(), low
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

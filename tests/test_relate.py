@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodemap.operators import concepts as C, relate as R
@@ -89,3 +90,10 @@ def test_merge_edges(spark):
     b = spark.createDataFrame([("a", "b", 4.0), ("b", "c", 1.0)], a.schema)
     got = {(r["src"], r["dst"]): r["w"] for r in R.merge_edges({"x": a, "y": b}, {"x": 1.0, "y": 0.5}).collect()}
     assert got == {("a", "b"): 4.0, ("b", "c"): 0.5}
+
+
+def test_a_width_below_the_vocabulary_is_an_error(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a b"), (1, 1, "assistant", "a b")], "conv_id long, turn long, role string, text string")
+    vocab = spark.createDataFrame([("a", 2, 2, 0), ("b", 2, 2, 1)], "concept string, tf long, df long, cid int")
+    with pytest.raises(ValueError, match="width 1"):
+        R.cue_response(turns, vocab, 1)

@@ -10,14 +10,14 @@ from lodemap.sources.sinks import top_map
 
 TRIPLES = [
     (1, '[{"subject":"a","relation":"is","object":"b"},{"subject":"b","relation":"is","object":"c"}]'),
-    (2, "[]"), (3, "not json"), (4, '[{"subject":"a","relation":"is"}]'), (5, None), (6, '[{"subject":"a"'),
+    (2, "[]"), (7, '{"subject":"a","relation":"is","object":"b"}'), (3, "not json"), (4, '[{"subject":"a","relation":"is"}]'), (5, None), (6, '[{"subject":"a"'),
 ]
 
 
 def test_parse_relations_and_rejects(spark):
     rows, rejects = parse_relations(spark.createDataFrame(TRIPLES, "id long, said string"), "said")
     assert sorted(tuple(r) for r in rows.collect()) == [(1, "a", "is", "b"), (1, "b", "is", "c")]
-    assert sorted(r["id"] for r in rejects.collect()) == [3, 4, 5, 6]
+    assert sorted(r["id"] for r in rejects.collect()) == [3, 4, 5, 6, 7]
 
 
 def test_filters_and_columns_reach_the_scan(spark, folder):
@@ -41,6 +41,9 @@ def test_write_map_replaces_one_map_only(spark, tmp_path):
     write_map(nodes.limit(1), edges.limit(1), path, "b")
     back = spark.read.parquet(f"{path}/edges")
     assert {r["map_id"]: r["count"] for r in back.groupBy("map_id").count().collect()} == {"a": 3, "b": 1}
+    write_map(nodes, edges.limit(0), path, "a")
+    back = spark.read.parquet(f"{path}/edges")
+    assert {r["map_id"] for r in back.collect()} == {"b"}
 
 
 def test_export_top(spark, tmp_path):
@@ -134,3 +137,9 @@ def test_drift(spark):
     stats = spark.createDataFrame([("k", d, n) for d, n in enumerate([3, 6, 6, 0])], "event_type string, day int, n long")
     got = [(r["change"], r["mean3"]) for r in M.drift(stats, "event_type", "day").orderBy("day").collect()]
     assert got == [(None, 3.0), (3, 4.5), (0, 5.0), (-6, 4.0)]
+
+
+def test_nodes_outside_the_range_have_tiles_of_their_own(spark):
+    nodes = spark.createDataFrame([(1, -0.5, -0.5, 1.0), (2, 1.0, 1.0, 1.0), (3, 1.2, -3.0, 1.0)], "node long, x double, y double, score double")
+    got = {(r["z"], r["tx"], r["ty"]): r["n"] for r in D.tiles(nodes, 1, 2).collect()}
+    assert got == {(1, 0, 0): 1, (1, 1, 1): 1, (1, 2, -2): 1, (0, 0, 0): 2, (0, 1, -1): 1}

@@ -75,15 +75,20 @@ def test_knn_approx_is_exact_with_one_bucket_and_close_with_more(spark, random_v
     assert row["recall"] > 0.8
 
 
-def test_crowded_buckets_are_hashed_again(spark, random_vectors):
-    vectors = frame(spark, random_vectors)
-    fine = V.knn_approx(vectors, 4, dim=8, tables=2, bits=0, crowded=10, more_bits=3)
-    got, want = lists(fine), brute(random_vectors, 120)
-    for a, near in got.items():
-        assert set(near) <= {(b, s) for b, s in want[a]} or np.allclose(
-            [s for _, s in near], [dict(want[a])[b] for b, _ in near], atol=2e-6
-        )
-    assert sum(map(len, got.values())) < 480 + 1
+def test_candidates_do_not_depend_on_the_size_of_the_table(spark, random_vectors):
+    few, many = frame(spark, random_vectors[:60]), frame(spark, random_vectors)
+    args = {"dim": 8, "tables": 3, "bits": 3}
+    near = {(r["src"], r["dst"]) for r in V.knn_approx(few, 59, **args).collect()}
+    more = {(r["src"], r["dst"]) for r in V.knn_approx(many, 119, **args).collect()}
+    assert near == {(a, b) for a, b in more if a < 60 and b < 60}
+
+
+def test_a_bucket_with_a_third_of_the_vectors_is_cut_into_blocks(spark, random_vectors):
+    close = random_vectors.copy()
+    close[:40] = close[0] + 1e-3 * random_vectors[:40]
+    one = V.knn_approx(frame(spark, close), 4, dim=8, tables=6, bits=3).orderBy("src", "rank").collect()
+    cut = V.knn_approx(frame(spark, close), 4, dim=8, tables=6, bits=3, block_rows=7).orderBy("src", "rank").collect()
+    assert one == cut and {r["src"] for r in one} >= set(range(40))
 
 
 def test_similar_pairs_link_copies_as_a_star(spark):
