@@ -16,13 +16,18 @@ from lodemap.scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one step of an Arrow task handles; one longer text is a step of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of `batches` in order, cut so that a piece holds `limit` bytes of `column` at most, or one row."""
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The column `text`, or that field of a first column that holds whole rows."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column(0).field("text")
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in order, cut so that a piece holds `limit` bytes of text at most, or one row."""
     for batch in batches:
-        sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
+        sizes = np.nan_to_num(pc.binary_length(texts_of(batch)).to_numpy(zero_copy_only=False)).astype(np.int64)
         ends = np.cumsum(sizes)
         start, n = 0, batch.num_rows
         while start < n:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lodemap.llm.common import bucket_of, find, seeded_sample, slices
+from lodemap.llm.common import bucket_of, find, seeded_sample, slices, texts_of
 
 ORDER = 3
 #: Labelled texts of each language that the trees are fitted on, about.
@@ -107,7 +107,8 @@ def fit(labelled: DataFrame, fit_texts: int = FIT_TEXTS) -> Trees:
 
 
 def identify(docs: DataFrame, trees: Trees, key: str = "doc_id") -> DataFrame:
-    """`key`, lang_pred, score for every row of `docs`, from its whole text.
+    """`key`, lang_pred, score for every row of `docs`, from its whole text (its own or, without
+    one, the field `text` of `key`).
 
     Null texts, texts without a letter and every text when no language is learned get `und` and
     score 0. Equal lengths go to the first language by code point. The score is the posterior of
@@ -120,7 +121,7 @@ def identify(docs: DataFrame, trees: Trees, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, known, cost = shared.value, np.zeros(0, np.uint32), np.zeros((0, len(names) - 1), np.float32)
         for batch in slices(batches):
-            texts = batch.column("text")
+            texts = texts_of(batch)
             codes, sizes = _grams(*_bytes(texts))
             new = np.unique(codes)
             new = new[~find(known, new)[1]]
@@ -144,12 +145,13 @@ def identify(docs: DataFrame, trees: Trees, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(names).take(pa.array(best)), pa.array(score)], [key, "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    columns = [key, "text"] if "text" in docs.columns else [key]
+    return docs.select(columns).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, trees: Trees) -> DataFrame:
     """The rows of `docs` whose text is in a learned language, with all their columns."""
-    rows = docs.select(F.struct(F.col("*")).alias("doc"), "text")
+    rows = docs.select(F.struct(F.col("*")).alias("doc"))
     return identify(rows, trees, "doc").where(F.col("lang_pred") != UNKNOWN).select("doc.*")
 
 

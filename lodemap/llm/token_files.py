@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
 
 from lodemap.llm.bpe import _classes, _content
@@ -34,8 +33,10 @@ from lodemap.scratch import Scratch
 MAGIC, SAMPLE = b"EFIDS\0\0\1", 64
 #: Ids of a file; a longer document has one of its own.
 FILE_IDS = 4 << 20
-#: Pieces of text whose ids a task remembers.
-KNOWN = 150_000
+#: Pieces of text whose ids a task remembers; strings that it encodes at once; bytes of text of a step.
+KNOWN, AT_ONCE, STEP_BYTES = 100_000, 4000, 3 << 20
+#: Shards for each shuffle partition: their keys' ranges follow each other.
+SHARDS = 4
 END = 1
 
 
@@ -157,23 +158,29 @@ def text_pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.bincount(row[keep], minlength=len(texts)), pieces.filter(pa.array(keep))
 
 
-def encode(docs: DataFrame, spec: str, end: int = END, key: str = "doc_id") -> DataFrame:
-    """`key`, ids (binary, little-endian uint16 or uint32), n for every row; `end` closes each document.
+def id_width(spec: str, end: int) -> int:
+    """Bytes of an id in a file."""
+    return 2 if max(_tokenizer(spec).get_vocab_size(), end + 1) <= 1 << 16 else 4
+
+
+def encode(docs: DataFrame, spec: str, end: int = END, key: str = "doc_id", bounds: list[int] = ()) -> DataFrame:
+    """`key`, ids (binary, little-endian uint16 or uint32), shard for every row; `end` closes each document.
 
     Null texts count as empty. Each distinct piece of a step is encoded once; other texts than
-    plain ones are encoded whole.
+    plain ones are encoded whole. The shard is the number of `bounds` up to the key; 0 for null.
     """
     held = docs.sparkSession.sparkContext.broadcast(spec)
-    width = 2 if max(_tokenizer(spec).get_vocab_size(), end + 1) <= 1 << 16 else 4
+    width, limits = id_width(spec, end), np.array(bounds, np.int64)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, known = _tokenizer(held.value), {}
 
         def ids_of(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, f"<u{width}").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.array(e.ids, f"<u{width}").tobytes() for at in range(0, len(texts), AT_ONCE)
+                    for e in tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             texts = pc.fill_null(batch.column("text"), "")
             easy = plain(texts)
             counts, pieces = text_pieces(texts.filter(pa.array(easy)))
@@ -194,16 +201,17 @@ def encode(docs: DataFrame, spec: str, end: int = END, key: str = "doc_id") -> D
             for simple in easy:
                 a, b = next(spans) if simple else (0, 0)
                 out.append((content[a:b].tobytes() if simple else next(whole)) + last)
-            n = np.fromiter(map(len, out), np.int64, len(out)) // width
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.binary()), pa.array(n)], [key, "ids", "n"])
+            keys = pc.fill_null(batch.column(key).cast(pa.int64()), np.iinfo(np.int64).min).to_numpy()
+            shard = np.searchsorted(limits, keys, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.binary()), pa.array(shard)], [key, "ids", "shard"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, ids binary, n long")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, ids binary, shard int")
 
 
 def write(encoded: DataFrame, folder: str, width: int, key: str = "doc_id") -> DataFrame:
     """Write token files of `encoded` into `folder` in ascending key order; returns the manifest.
 
-    file, part, number, documents, ids, start (ids of all files before). A task writes under names
+    file, shard, number, documents, ids, start (ids of all files before). A task writes under names
     of its own, so files of a failed attempt are in no manifest.
     """
     fs, path = pafs.FileSystem.from_uri(folder)
@@ -211,31 +219,30 @@ def write(encoded: DataFrame, folder: str, width: int, key: str = "doc_id") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
-        part, number, keys, ids = TaskContext.get().partitionId(), 0, [], []
+        shard, number, keys, ids, size = None, 0, [], [], 0
 
         def close():
-            name = f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.ids"
+            name = f"{shard:06d}-{number:06d}-{uuid.uuid4().hex}.ids"
             flat = np.frombuffer(b"".join(ids), f"<u{width}")
             with fs.open_output_stream(f"{path}/{name}") as f:
                 f.write(pack(keys, np.fromiter(map(len, ids), np.int64, len(ids)) // width, flat, width))
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, part, number, len(keys), len(flat))], ["file", "part", "number", "documents", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, shard, number, len(keys), len(flat))], ["file", "shard", "number", "documents", "ids"])
 
-        size = 0
         for batch in batches:
-            for k, x in zip(batch.column(key).to_pylist(), batch.column("ids").to_pylist()):
-                if keys and size + len(x) > FILE_IDS * width:
+            for s, k, x in zip(*(batch.column(c).to_pylist() for c in ("shard", key, "ids"))):
+                if keys and (s != shard or size + len(x) > FILE_IDS * width):
                     yield close()
-                    number, keys, ids, size = number + 1, [], [], 0
+                    number, keys, ids, size = number + 1 if s == shard else 0, [], [], 0
+                shard, size = s, size + len(x)
                 keys.append(k)
                 ids.append(x)
-                size += len(x)
         if keys:
             yield close()
 
-    shards = encoded.repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
-    written = shards.select(F.col(key).cast("long").alias(key), "ids").mapInArrow(run, "file string, part long, number long, documents long, ids long")
+    shards = encoded.repartition("shard").sortWithinPartitions("shard", F.col(key).asc_nulls_first())
+    written = shards.select("shard", F.col(key).cast("long").alias(key), "ids").mapInArrow(run, "file string, shard long, number long, documents long, ids long")
     written = Scratch(encoded.sparkSession, "tokens").table(written, "files")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard", "number").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
@@ -261,11 +268,13 @@ def read(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
 
 
 def write_corpus(docs: DataFrame, spec: str, end: int = END, key: str = "doc_id") -> tuple[DataFrame, str]:
-    """Encode `docs` and write its token files to a new shared folder; returns the manifest and the folder."""
-    scratch = Scratch(docs.sparkSession, "token-files")
-    encoded = scratch.table(encode(docs, spec, end, key), "encoded")
-    folder = scratch.path("ids")
-    folder = folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1)
-    width = 2 if max(_tokenizer(spec).get_vocab_size(), end + 1) <= 1 << 16 else 4
-    return write(encoded, folder, width, key), folder
+    """Encode `docs` and write its token files to a new shared folder; returns the manifest and the folder.
 
+    Shards are ranges of keys with about as many rows each; texts are encoded where they lie.
+    """
+    spark = docs.sparkSession
+    folder = Scratch(spark, "token-files").path("ids")
+    folder = folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1)
+    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
+    return write(encode(docs, spec, end, key, sorted(set(cuts or []))), folder, id_width(spec, end), key), folder

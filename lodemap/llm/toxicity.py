@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lodemap.llm.common import bucket_of, find, hash_words, mix, seeded_sample, slices, words_of
+from lodemap.llm.common import bucket_of, find, hash_words, mix, seeded_sample, slices, texts_of, words_of
 from lodemap.scratch import Scratch
 
 #: Labelled documents of each class that are used, about: FIT_SHARE for the models, the rest for the curve.
@@ -218,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS)
 
 
 def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFrame:
-    """`key`, score, predicted for every row of `docs`, from its whole text.
+    """`key`, score, predicted for every row of `docs`, from its whole text (its own or, without
+    one, the field `text` of `key`).
 
     A null or empty text has the score of the curve at zero; without a model every score is 0.
     Repeated rows get a row each; other columns are not read.
@@ -229,10 +230,11 @@ def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*held.value) if held.value else None
         for batch in slices(batches):
-            score = model.score(batch.column("text")) if model else np.zeros(batch.num_rows)
+            score = model.score(texts_of(batch)) if model else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [key, "score", "predicted"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
+    columns = [key, "text"] if "text" in docs.columns else [key]
+    return docs.select(columns).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
 
 
 def split_fit(docs: DataFrame, labels: DataFrame, buckets: int = 3, held: int = 1) -> Model | None:
@@ -242,5 +244,5 @@ def split_fit(docs: DataFrame, labels: DataFrame, buckets: int = 3, held: int =
 
 def not_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, with all their columns."""
-    rows = docs.select(F.struct(F.col("*")).alias("doc"), "text")
+    rows = docs.select(F.struct(F.col("*")).alias("doc"))
     return toxicity(rows, model, "doc").where("predicted = 0").select("doc.*")
