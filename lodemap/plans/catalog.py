@@ -492,6 +492,18 @@ def bundle_edges(spark, folder):
     return D.bundle_edges(_placed(spark, folder), maps.neighbour_map(spark, folder)[2], z=4)
 
 
+@query
+def concept_map(spark, folder):
+    return maps.concept_map(spark, folder)
+
+
+@query
+def concept_tiles(spark, folder):
+    """Zoom tiles of the concept map: the three best-ranked concepts of each cell."""
+    nodes = maps.concept_map(spark, folder).select(F.col("concept").alias("node"), "x", "y", F.col("rank").alias("score"))
+    return D.tiles(nodes, z_max=4, k=3, low=0.0, high=1.0).select("z", "tx", "ty", "n", F.inline("top"))
+
+
 # --- comparing maps ------------------------------------------------------------------
 
 def _two_maps(spark, folder):

@@ -74,6 +74,30 @@ def similarity_map(spark: SparkSession, folder: str, k: int = 5, rounds: int = 1
     )
 
 
+def concept_map(spark: SparkSession, folder: str, band: Band = DOC_BAND, w: int = 5, k: int = 5, min_n: int = 3) -> DataFrame:
+    """The map itself: concept, tf, df, component, community, rank and place of every concept.
+
+    Concepts are the documents' most frequent within the band, related by how often they stand
+    within `w` words of each other; every concept keeps its `k` heaviest edges.
+    """
+    units = doc_units(spark, folder)
+    scratch = Scratch(spark, "concept-map")
+    vocab = written_vocabulary(units, band)
+    edges = R.prune_topk(R.cooccur_window(units, vocab, w), k=k, min_n=min_n).withColumnRenamed("n", "w")
+    edges = scratch.table(edges, "edges")
+    nodes = vocab.select(F.col("concept").alias("node"))
+    parts = [
+        G.components(nodes, edges).withColumnRenamed("comp", "component"),
+        G.label_propagation(nodes, edges, rounds=5).withColumnRenamed("label", "community"),
+        G.pagerank(nodes, R.both_ways(edges).select("src", "dst"), rounds=10).select("node", F.round("rank", 8).alias("rank")),
+        D.layout_force(nodes, edges, rounds=5).select("node", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")),
+    ]
+    out = vocab.select(F.col("concept").alias("node"), "tf", "df")
+    for part in parts:
+        out = out.join(part, "node")
+    return scratch.table(out.withColumnRenamed("node", "concept"), "nodes")
+
+
 def role_edges(spark: SparkSession, folder: str, w: int = 3) -> DataFrame:
     """Window co-occurrence per role: one map per kind of speaker."""
     units = turn_units(spark, folder)

@@ -250,6 +250,7 @@ for i in range(1, 11):
     JOIN outs o ON o.src = a.src GROUP BY 1) m ON m.dst = n.node,
     (SELECT count(*) AS n FROM nodes) c,
     (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE node NOT IN (SELECT src FROM outs)) d)""")
+RANK_ROUNDS = ROUNDS
 sql("pagerank", *KNN, NODES, "outs AS MATERIALIZED (SELECT src, count(*) AS o FROM knn GROUP BY 1)", *ROUNDS,
     final="SELECT node, round(rank, 8) AS rank FROM r10")
 
@@ -260,6 +261,7 @@ for i in range(1, 6):
     SELECT src, first(label ORDER BY s DESC, label) AS label FROM (
       SELECT e.src, l.label, sum(e.w) AS s FROM ends e JOIN l{i - 1} l ON l.node = e.dst GROUP BY 1, 2) GROUP BY 1) b
   ON b.src = p.node)""")
+LABEL_ROUNDS = ROUNDS
 sql("label_propagation", *GRAPH, *ROUNDS, final="SELECT node, label FROM l5")
 
 sql("triangles", *GRAPH, NODES,
@@ -387,8 +389,36 @@ for i in range(1, 6):
     move = f"CASE WHEN sqrt(fx * fx + fy * fy) > 0 THEN least(sqrt(fx * fx + fy * fy), {step!r}::DOUBLE) / sqrt(fx * fx + fy * fy) ELSE 0.0 END"
     ROUNDS.append(f"""p{i} AS MATERIALIZED (SELECT node, round(greatest(0.0, least(0.999999, x + fx * {move})), 9) AS x,
     round(greatest(0.0, least(0.999999, y + fy * {move})), 9) AS y FROM f{i})""")
+LAYOUT_ROUNDS = ROUNDS
 sql("layout_force", *GRAPH, *ROUNDS, final="SELECT node, round(x, 4) AS x, round(y, 4) AS y FROM p5")
 
+
+def of_concepts(rounds: list[str]) -> list[str]:
+    """Rounds over vectors as rounds over the concepts of the vocabulary."""
+    return [r.replace("vec_id AS label", "concept AS label").replace("vec_id", "concept").replace("FROM embeddings", "FROM vocab") for r in rounds]
+
+
+CONCEPT_MAP = (
+    *DOCS, near("doc_id", 5),
+    "both_near AS (SELECT src, dst, n FROM near WHERE n >= 3 UNION ALL SELECT dst, src, n FROM near WHERE n >= 3)",
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM both_near)",
+    "edges AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, n AS w FROM ranked WHERE r <= 5)",
+    ENDS, "knn AS MATERIALIZED (SELECT src, dst FROM ends)", "nodes AS (SELECT concept AS node FROM vocab)",
+    "outs AS MATERIALIZED (SELECT src, count(*) AS o FROM knn GROUP BY 1)",
+    *of_concepts(RANK_ROUNDS), *of_concepts(LABEL_ROUNDS), *of_concepts(LAYOUT_ROUNDS),
+    "reach AS (SELECT node, node AS seen FROM nodes UNION SELECT a.node, b.dst FROM reach a JOIN ends b ON a.seen = b.src)",
+    "comps AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)",
+    """cmap AS MATERIALIZED (SELECT concept, tf, df, component, l5.label AS community, round(r10.rank, 8) AS rank, round(p5.x, 4) AS x, round(p5.y, 4) AS y
+  FROM vocab JOIN comps ON comps.node = concept JOIN l5 ON l5.node = concept JOIN r10 ON r10.node = concept JOIN p5 ON p5.node = concept)""",
+)
+sql("concept_map", *CONCEPT_MAP, final="SELECT * FROM cmap", recursive=True)
+sql("concept_tiles", *CONCEPT_MAP,
+    """zoomed AS (SELECT z::INT AS z, CASE WHEN x = 1.0 THEN (1 << z::INT) - 1 ELSE floor(x * (1 << z::INT))::INT END AS tx,
+  CASE WHEN y = 1.0 THEN (1 << z::INT) - 1 ELSE floor(y * (1 << z::INT))::INT END AS ty, concept AS node, rank AS score
+  FROM (SELECT *, unnest(range(0, 5)) AS z FROM cmap))""",
+    final="""SELECT z, tx, ty, n, rank, node FROM (SELECT z, tx, ty, node, count(*) OVER (PARTITION BY z, tx, ty) AS n,
+  row_number() OVER (PARTITION BY z, tx, ty ORDER BY score DESC, node) AS rank FROM zoomed) WHERE rank <= 3""", recursive=True)
+
 # --- comparing maps ------------------------------------------------------------------
 
 TWO_MAPS = (
