@@ -288,13 +288,13 @@ def knn_exact(spark, folder):
 
 @query
 def knn_approx(spark, folder):
-    return V.knn_approx(read_vectors(spark, folder), 5, dim=64, tables=16, bits=4)
+    return V.knn_approx(read_vectors(spark, folder), 5, dim=64, tables=24, bits=4)
 
 
 @query
 def knn_recall(spark, folder):
     vectors = read_vectors(spark, folder)
-    found = V.recall(V.knn_approx(vectors, 5, dim=64, tables=16, bits=4), V.knn_exact(vectors, 5))
+    found = V.recall(V.knn_approx(vectors, 5, dim=64, tables=24, bits=4), V.knn_exact(vectors, 5))
     return found.select("n_exact", (F.col("recall") >= 0.9).alias("enough"))
 
 
@@ -305,7 +305,7 @@ def similar_pairs(spark, folder):
 
 @query
 def similar_pairs_approx(spark, folder):
-    return V.similar_pairs_approx(read_vectors(spark, folder), 0.4, dim=64, tables=16, bits=4)
+    return V.similar_pairs_approx(read_vectors(spark, folder), 0.4, dim=64, tables=24, bits=4)
 
 
 @query
