@@ -4,12 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodemap.llm import jaccard_join as J, langid, licenses as L, mixing as M, queries, toxicity as X, url_filter as U
+from lodemap.llm import bpe, jaccard_join as J, langid, licenses as L, mixing as M, queries, toxicity as X, url_filter as U
 
 
 # --- mixing --------------------------------------------------------------------------
@@ -366,9 +367,7 @@ def test_pipeline_stages(spark, folder):
             got = {r.source: r.n for r in docs.groupBy("source").agg(F.sum(M.size()).alias("n")).collect()}
             assert all(abs(got.get(s, 0) - t) <= nearest_sum(sizes[s], t) + 0.5 for s, t in want.items())
     assert counts[0] == counts[1] >= counts[2] >= counts[3] and counts[4] == counts[5]
-    from tests.llm.test_encoding import RANKS, PATTERN
-    from lodemap.llm import bpe
-    encoding = bpe._encoding(RANKS, PATTERN)
+    encoding = bpe._encoding(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     assert all(r.ids == encoding.encode_ordinary(texts[r.doc_id]) for r in docs.collect())
 
 
