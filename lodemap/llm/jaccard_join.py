@@ -320,13 +320,10 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
     pairs = scratch.table(found.where("dst IS NOT NULL").select("src", "dst").distinct(), "pairs")
     long = scratch.table(found.where("dst IS NULL").select("key", F.col("src").alias("node"), "n", "at", "single"), "long")
     maps = scratch.table(marked.where("bits IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), "bitmaps")
-    # pairs whose bitmaps allow the overlap; then the sets of their nodes and those of long lists, each from one document
+    # pairs whose bitmaps allow the overlap
     both = pairs.join(maps.select(F.col("node").alias("dst"), F.col("bits").alias("b"), F.col("n").alias("m")), "dst").join(
         maps.select(F.col("node").alias("src"), F.col("bits").alias("a"), "n"), "src")
     pairs = scratch.table(both.mapInArrow(_may_link(least), "src long, dst long"), "likely")
-    wanted = pairs.select("src").union(pairs.select("dst")).union(long.select("node")).distinct().withColumnRenamed("src", "node")
-    holders = scratch.table(marked.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias(key)).join(wanted, "node", "left_semi").select(key), "holders")
-
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(*held.value), set()
         for batch in slices(batches):
@@ -337,17 +334,21 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
             flat = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in sets)])
             yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in sets], pa.int64()), pa.ListArray.from_arrays(ends, _signed(flat))], ["node", "keys"])
 
-    chosen = docs.where(_perhaps_among(holders, key)).select(key, "text").join(holders, key, "left_semi").select("text")
-    sets = scratch.table(chosen.mapInArrow(contents, "node long, keys array<long>"), "sets")
-
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link, exactly."""
+        """The pairs that link, exactly: by the sets of their nodes, each made from one document."""
+        ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        holders = marked.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias(key)).join(ends, "node", "left_semi").select(key)
+        holders = scratch.table(holders, f"{name}-holders")
+        chosen = docs.where(_perhaps_among(holders, key)).select(key, "text").join(holders, key, "left_semi").select("text")
+        sets = scratch.table(chosen.mapInArrow(contents, "node long, keys array<long>"), f"{name}-sets")
         both = pairs.join(sets.select(F.col("node").alias("dst"), F.col("keys").alias("b")), "dst").join(
             sets.select(F.col("node").alias("src"), F.col("keys").alias("a")), "src")
         common = F.size(F.array_intersect("a", "b"))
-        return scratch.table(both.where(100 * common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst"), name)
+        out = scratch.table(both.where(100 * common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst"), name)
+        scratch.drop(f"{name}-sets")
+        return out
 
-    nodes = sets.select("node").distinct()
+    nodes = scratch.table(pairs.select(F.explode(F.array("src", "dst")).alias("node")).union(long.select("node")).distinct(), "nodes")
     edges = links(pairs, "links")
     if not long.isEmpty():
         first = scratch.table(components(nodes, edges), "first")
