@@ -33,8 +33,8 @@ from lodemap.scratch import Scratch
 MAGIC, SAMPLE = b"EFIDS\0\0\1", 64
 #: Ids of a file; a longer document has one of its own.
 FILE_IDS = 4 << 20
-#: Pieces of text whose ids a task remembers; strings that it encodes at once; bytes of text of a step.
-KNOWN, AT_ONCE, STEP_BYTES = 100_000, 4000, 3 << 20
+#: Pieces of text whose ids a worker remembers, the first it meets; strings that it encodes at once; bytes of text of a step.
+KNOWN, AT_ONCE, STEP_BYTES = 200_000, 4000, 4 << 20
 #: Shards for each shuffle partition: their keys' ranges follow each other.
 SHARDS = 4
 END = 1
@@ -125,6 +125,12 @@ def _tokenizer(spec: str):
     return Tokenizer.from_str(spec)
 
 
+@lru_cache(2)
+def _known(spec: str) -> dict[bytes, bytes]:
+    """Ids of pieces that this worker has encoded, KNOWN of them at most."""
+    return {}
+
+
 def plain(texts: pa.Array) -> np.ndarray:
     """Texts that may be encoded piece by piece: Latin letters, ASCII, no control or special signs.
 
@@ -174,7 +180,7 @@ def encode(docs: DataFrame, spec: str, end: int = END, key: str = "doc_id", boun
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(held.value), {}
+        tokenizer, known = _tokenizer(held.value), _known(held.value)
 
         def ids_of(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, f"<u{width}").tobytes() for at in range(0, len(texts), AT_ONCE)
@@ -187,11 +193,9 @@ def encode(docs: DataFrame, spec: str, end: int = END, key: str = "doc_id", boun
             coded = pieces.dictionary_encode()
             words = coded.dictionary.to_pylist()
             new = [w for w in words if w not in known]
-            if len(known) + len(new) > KNOWN:  # the commonest come first in a step, so they return soon
-                known, new = {}, words
             fresh = dict(zip(new, ids_of([w.decode() for w in new])))
             table = pa.array([known.get(w) if w in known else fresh[w] for w in words], pa.binary())
-            known.update(list(fresh.items())[: KNOWN - len(known)])
+            known.update(list(fresh.items())[: max(0, KNOWN - len(known))])
             flat = table.take(coded.indices)
             at = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(), dtype=np.int64)])
             ends = at[np.cumsum(counts)]
