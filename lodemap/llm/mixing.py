@@ -50,7 +50,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return capped.select("source", "source_size", F.when(F.col("full"), cap).otherwise(free * F.col("w")).alias("target"))
 
 
-def fit(length: np.ndarray, count: np.ndarray, budget: int, table: int = TABLE) -> np.ndarray:
+def fit(length: np.ndarray, count: np.ndarray, budget: float, table: int = TABLE) -> np.ndarray:
     """How many documents of each length to take for a sum as near to `budget` as this finds.
 
     Never above the counts. The sum is exact if the last `table` words can be made up from the
@@ -65,7 +65,7 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int, table: int = TABLE)
     # a proportional share of every length, short of the table's words
     part = max(0.0, (budget - table / 2) / whole)
     take = np.where(length > 0, np.floor(count * part), 0).astype(np.int64)
-    rest = budget - int((take * length).sum())
+    rest = round(budget) - int((take * length).sum())
     room = max(table // 2, int(length[length > 0].min()))
     for i in np.argsort(-length, kind="stable"):  # longest first, until the table can hold the rest
         if rest <= room or length[i] == 0:
@@ -75,6 +75,8 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int, table: int = TABLE)
         rest -= more * int(length[i])
     if rest <= 0:
         return take
+    exact = budget - int((take * length).sum())
+    rest = round(exact)
     # bounded knapsack: reachable sums as the bits of one number, counts split by powers of two
     limit = min(rest + int(length[length > 0].max()), rest + table)
     mask = (1 << (limit + 1)) - 1
@@ -95,7 +97,7 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int, table: int = TABLE)
     below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
     over = reach >> (rest + 1)
     above = rest + (over & -over).bit_length() if over else None
-    at = above if above is not None and above - rest < rest - below else below
+    at = above if above is not None and above - exact < exact - below else below
     for i, n, before in reversed(steps):
         if not (before >> at) & 1:
             take[i] += n
@@ -116,7 +118,7 @@ def _per_source(most: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         whole, target = int(g["source_size"].iloc[0]), float(g["target"].iloc[0])
         passes = min(most, int(target // whole)) if whole else 0
-        extra = fit(g["size"].to_numpy(), g["n"].to_numpy(), round(target - passes * whole)) if passes < most else 0
+        extra = fit(g["size"].to_numpy(), g["n"].to_numpy(), target - passes * whole) if passes < most else 0
         return g.assign(passes=passes, extra=extra)[["source", "size", "n", "source_size", "target", "passes", "extra"]]
 
     return run
