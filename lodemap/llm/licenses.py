@@ -2,9 +2,9 @@
 
 Multinomial logistic regression over sparse word n-grams tells licence families from other text.
 It is trained on notices of the families among words of the corpus itself, on a seeded sample of its
-paragraphs, and on sentences that only talk of licences. Features are words of the notices that are
-rare in the sample, and pairs of words with one of them; so a paragraph without such a word has no
-feature, is not a licence, and is passed by after one look at its words. A family is confirmed when
+paragraphs, and on sentences that only talk of licences. Features are all words of the notices and
+their pairs, however common they are in the corpus. A paragraph without a feature that could make it
+a licence is passed by after one look at its words. A family is confirmed when
 a notice's word pairs are found in the paragraph. A paragraph that looks like a licence, but whose
 family is not sure enough or not confirmed, is `unknown`; how sure is enough is set on held-out
 examples.
@@ -12,6 +12,7 @@ examples.
 
 from __future__ import annotations
 
+from math import log
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression
@@ -78,7 +79,7 @@ TALK = [
 ]
 #: Paragraphs of the corpus in the training set, about; copies of each notice among corpus words.
 NEGATIVES, COPIES = 2000, 6
-#: Words in more than this share of sampled paragraphs are no features.
+#: Words found outside notices in more than this share of sampled paragraphs do not tell notices from other text.
 RARE = 0.005
 #: Share of the word pairs of a notice that must be in a paragraph, and least probability of a family.
 CONFIRM, LEAST = 0.8, 0.5
@@ -102,7 +103,7 @@ def grams(words: Column) -> Column:
 
 
 class Model(NamedTuple):
-    """Feature words, weights of every feature for each family, intercepts, and the least probability."""
+    """Words without which no paragraph is a licence, weights of every feature for each family, intercepts, and the least probability."""
 
     words: list[str]
     families: list[str]
@@ -136,26 +137,27 @@ def fit(docs: DataFrame, key: str = "doc_id") -> Model:
     some = docs.where("text IS NOT NULL").where(draw * n < NEGATIVES)
     lines = some.select(F.split("text", r"\R").alias("lines")).select(tokens(F.element_at("lines", (F.pmod(F.xxhash64("lines"), F.size("lines")) + 1).cast("int"))).alias("words"))
     negatives = scratch.table(lines.withColumn("id", F.xxhash64("words")), "negatives")
-    seen = negatives.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     whole = max(1, negatives.count())
     notices = _notices(spark).withColumn("words", tokens("notice"))
-    words = notices.select(F.explode("words").alias("word")).distinct().join(seen, "word", "left")
-    rare = sorted(r["word"] for r in words.where(F.coalesce(F.col("n"), F.lit(0)) <= RARE * whole).collect())  # bounded by the notices
-    allowed = F.lit(rare)
-    candidates = notices.select(F.explode(F.array_distinct(pairs(F.col("words")))).alias("pair")).distinct()
-    either = F.split("pair", " ")
-    bigrams = sorted(r["pair"] for r in candidates.where(F.arrays_overlap(either, allowed)).collect())
+    words = sorted(r["word"] for r in notices.select(F.explode("words").alias("word")).distinct().collect())  # bounded by the notices
+    bigrams = sorted(r["pair"] for r in notices.select(F.explode(pairs(F.col("words"))).alias("pair")).distinct().collect())
+    # words that are common where no pair of a notice is; copies of notices do not count
+    inside = negatives.select("words", F.transform(pairs(F.col("words")), lambda p: p.isin(bigrams)).alias("known"))
+    outside = inside.select(F.explode(F.array_distinct(F.filter(
+        "words", lambda w, i: ~F.coalesce(F.get("known", i - 1), F.lit(False)) & ~F.coalesce(F.get("known", i), F.lit(False))))).alias("word"))
+    counts = {r["word"]: r["n"] for r in outside.where(F.col("word").isin(words)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rare = {w for w in words if counts.get(w, 0) <= RARE * whole}
+    telling = [p for p in bigrams if rare.intersection(p.split(" "))]
     # notices alone and among words of the corpus; sampled paragraphs without a notice's pairs; talk
-    known = F.lit(bigrams)
-    clean = negatives.where(F.size(F.array_intersect(pairs(F.col("words")), known)) < 2)
-    noise = negatives.where(F.size("words") > 4).orderBy("id").limit(COPIES).select(F.row_number().over(Window.orderBy("id")).alias("copy"), F.col("words").alias("noise"))
+    clean = negatives.where(F.size(F.array_intersect(pairs(F.col("words")), F.lit(telling))) < 2)
+    noise = clean.where(F.size("words") > 4).orderBy("id").limit(COPIES).select(F.row_number().over(Window.orderBy("id")).alias("copy"), F.col("words").alias("noise"))
     around = notices.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).join(noise, "copy").withColumn("words", F.concat("noise", "words", "noise"))
     talk = _rows(spark, ["text"], [(t,) for t in TALK]).select(F.lit(NONE).alias("family"), tokens("text").alias("words"))
     examples = (notices.select("family", "words").union(around.select("family", "words")).union(talk)
                 .union(clean.select(F.lit(NONE), "words")).withColumn("held", F.pmod(F.xxhash64("words"), F.lit(4)) == 0))
     families = [NONE, *sorted(NOTICES)]
     label = F.array_position(F.lit(families), F.col("family")).cast("double") - 1
-    features = CountVectorizerModel.from_vocabulary(rare + bigrams, inputCol="grams", outputCol="features").setBinary(True)
+    features = CountVectorizerModel.from_vocabulary(words + bigrams, inputCol="grams", outputCol="features").setBinary(True)
     ready = features.transform(examples.withColumn("label", label).withColumn("grams", grams(F.col("words")))).select("label", "features", "held").coalesce(1).cache()
     lr = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-3, elasticNetParam=0.2)
     # every notice itself trains; of the rest a quarter is held out
@@ -165,8 +167,25 @@ def fit(docs: DataFrame, key: str = "doc_id") -> Model:
     bound = scored.where("label = 0").agg(F.max("p")).first()[0] or 0.0
     ready.unpersist()
     k = len(matrix)
-    weights = {g: [float(matrix[j, i]) for j in range(k)] for i, g in enumerate(rare + bigrams)}
-    return Model(rare, families[:k], weights, [float(x) for x in intercepts], max(LEAST, min(0.95, float(bound))))
+    weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(words + bigrams) if matrix[:, i].any()}
+    intercepts = [float(x) for x in intercepts]
+    return Model(_needed(weights, intercepts, counts), families[:k], weights, intercepts, max(LEAST, min(0.95, float(bound))))
+
+
+def _needed(weights: dict[str, list[float]], intercepts: list[float], counts: dict[str, int]) -> list[str]:
+    """Words, one of which is in every paragraph that is a licence by these weights.
+
+    All features that are not strong, taken together, leave every family below NONE's share of one
+    half. `counts` chooses the rarer word of a strong pair, which changes cost only.
+    """
+    gain = {g: max(0.0, max(x - w[0] for x in w[1:])) for g, w in weights.items()}
+    left = -log(len(intercepts) - 1) - max(x - intercepts[0] for x in intercepts[1:])
+    strong = set()
+    for g in sorted(gain, key=lambda g: (gain[g], g)):
+        left -= gain[g]
+        if left <= 0:
+            strong.add(g)
+    return sorted({min(g.split(" "), key=lambda w: (counts.get(w, 0), w)) for g in strong})
 
 
 def _most(column: str) -> Column:

@@ -312,6 +312,17 @@ def test_op3_finds_every_notice_of_the_table(spark):
     assert got == want
 
 
+def test_op3_a_notice_in_a_third_of_all_documents(documents):
+    rnd = random.Random(4)
+    prose = lambda: " ".join(rnd.choices("thor erin with the of and oush ation ble under in to a".split(), k=20)).capitalize() + "."
+    footer = "Licensed under CC BY-NC 4.0."
+    rows = [(i, "\n".join([prose() for _ in range(20)] + [footer] * (10 if i % 3 == 0 else 0)), None, "hot" if i % 3 == 0 else "cold") for i in range(900)]
+    docs = documents(rows + [(1000, f"{prose()}\nReleased under the MIT License.", None, None)])
+    got = {r.doc_id: (r.license, r.families, r.n_paragraphs) for r in L.scan(docs, L.fit(docs)).collect()}
+    assert got.pop(1000) == ("mit", ["mit"], 1)
+    assert got == {i: ("cc-by-nc", ["cc-by-nc"], 10) if i % 3 == 0 else (None, [], 0) for i in range(900)}
+
+
 # --- URL rules ------------------------------------------------------------------------
 
 def brute_url(url, rules):
