@@ -5,7 +5,8 @@ It is trained on notices of the families among words of the corpus itself, on a
 paragraphs, and on sentences that only talk of licences. Features are all words of the notices and
 their pairs, however common they are in the corpus. A paragraph without a feature that could make it
 a licence is passed by after one look at its words. A family is confirmed when
-a notice's word pairs are found in the paragraph. A paragraph that looks like a licence, but whose
+a notice's word pairs are found in the paragraph. A paragraph is a line, or adjacent lines without
+a blank one between them over which a notice is wrapped: as few lines as confirm its family. A paragraph that looks like a licence, but whose
 family is not sure enough or not confirmed, is `unknown`; how sure is enough is set on held-out
 examples.
 """
@@ -123,9 +124,50 @@ def _notices(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`key`, paragraph, words of every line with words."""
-    lines = docs.where("text IS NOT NULL").select(F.col(key), F.posexplode(F.split("text", r"\R")).alias("paragraph", "line"))
-    return lines.select(key, "paragraph", tokens("line").alias("words"))
+    """`key`, copy, first, last, words of every line with words; `copy` is a hash of the text."""
+    lines = docs.where("text IS NOT NULL").select(F.col(key), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", r"\R")).alias("first", "line"))
+    return lines.select(key, "copy", "first", F.col("first").alias("last"), tokens("line").alias("words"))
+
+
+def _known(spark: SparkSession) -> list[tuple[str, list[str]]]:
+    """Families and distinct word pairs of all notices."""
+    return [(r["family"], r["pairs"]) for r in _notices(spark).select("family", F.array_distinct(pairs(tokens("notice"))).alias("pairs")).collect()]
+
+
+def _all(known: list[tuple[str, list[str]]]) -> list[str]:
+    return sorted({p for _, ps in known for p in ps})
+
+
+def _confirms(words: Column, known: list[tuple[str, list[str]]], family: Column | None = None) -> Column:
+    """Whether the pairs of a notice, of this or of any family, are among the pairs of `words`."""
+    notices = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, ps)).alias("pairs")) for f, ps in known])
+    held = lambda words: F.array_distinct(F.filter(pairs(words), lambda p: p.isin(_all(known))))
+    enough = lambda t, held: F.size(F.array_intersect(t["pairs"], held)) >= CONFIRM * F.size(t["pairs"])
+    fits = lambda held: F.exists(notices, lambda t: enough(t, held) if family is None else (t["family"] == family) & enough(t, held))
+    # arrays of one, so that words and pairs are computed once
+    return F.exists(F.array(words), lambda words: F.exists(F.array(held(words)), lambda held: (F.size(held) > 0) & fits(held)))
+
+
+def wrapped(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`key`, copy, first, last, words of runs of two or more lines that hold most of a notice.
+
+    No run has a line without words, and none goes on after as many words as the longest notice has.
+    """
+    notices = _notices(docs.sparkSession).select(tokens("notice").alias("words"))
+    longest = notices.agg(F.max(F.size("words"))).first()[0]
+    known = _known(docs.sparkSession)
+    n = F.size("lines")
+    lines = docs.where("text IS NOT NULL").select(key, F.xxhash64("text").alias("copy"), F.transform(F.split("text", r"\R"), tokens).alias("lines"))
+    lines = lines.where(n > 1).where(_confirms(F.flatten("lines"), known))
+    # a first line that adds a pair, and what may follow it
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.arrays_overlap(
+        pairs(F.concat(F.get("lines", i), F.slice(F.coalesce(F.get("lines", i + 1), F.array().cast("array<string>")), 1, 1))), F.lit(_all(known))))
+    starts = lines.select(key, "copy", F.explode(F.transform(begins, lambda i: F.struct(i.alias("first"), F.slice("lines", i + 1, longest + 1).alias("part")))).alias("s")).select(key, "copy", "s.first", "s.part")
+    before = lambda k: F.size(F.flatten(F.slice("part", 2, k - 1)))
+    more = F.filter(F.sequence(F.lit(1), F.size("part") - 1), lambda k: (before(k) < longest) & F.forall(F.slice("part", 1, k + 1), lambda l: F.size(l) > 0))
+    runs = starts.where(F.size("part") > 1).select(key, "copy", "first", "part", F.explode(more).alias("k"))
+    runs = runs.select(key, "copy", "first", (F.col("first") + F.col("k")).alias("last"), F.flatten(F.slice("part", F.lit(1), F.col("k") + 1)).alias("words"))
+    return runs.where(_confirms(F.col("words"), known))
 
 
 def fit(docs: DataFrame, key: str = "doc_id") -> Model:
@@ -140,7 +182,7 @@ def fit(docs: DataFrame, key: str = "doc_id") -> Model:
     whole = max(1, negatives.count())
     notices = _notices(spark).withColumn("words", tokens("notice"))
     words = sorted(r["word"] for r in notices.select(F.explode("words").alias("word")).distinct().collect())  # bounded by the notices
-    bigrams = sorted(r["pair"] for r in notices.select(F.explode(pairs(F.col("words"))).alias("pair")).distinct().collect())
+    bigrams = _all(_known(spark))
     # words that are common where no pair of a notice is; copies of notices do not count
     inside = negatives.select("words", F.transform(pairs(F.col("words")), lambda p: p.isin(bigrams)).alias("known"))
     outside = inside.select(F.explode(F.array_distinct(F.filter(
@@ -194,31 +236,40 @@ def _most(column: str) -> Column:
 
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """`key`, paragraph, family, score of every paragraph that is a licence or looks like one."""
+    """`key`, first, last, family, score of every paragraph that is a licence or looks like one: its lines."""
     spark = docs.sparkSession
     k = len(model.families)
-    # rows of one key may repeat: they are told apart by their paragraph's words only
-    hit = paragraphs(docs, key).where(F.exists("words", lambda w: w.isin(model.words)))
+    # rows of one key may repeat: they are told apart by their texts' hashes
+    hit = paragraphs(docs, key).where(F.exists("words", lambda w: w.isin(model.words))).unionByName(wrapped(docs, key))
     table = _rows(spark, ["gram", "w"], [(g, w) for g, w in sorted(model.weights.items())])
     seen = hit.withColumn("gram", F.explode(F.array_distinct(grams(F.col("words"))))).join(F.broadcast(table), "gram")  # as many rows as the notices have n-grams
-    logits = seen.groupBy(key, "paragraph", "words").agg(*[(F.sum(F.col("w")[j]) + model.intercepts[j]).alias(f"z{j}") for j in range(k)])
+    logits = seen.groupBy(key, "copy", "first", "last", "words").agg(*[(F.sum(F.col("w")[j]) + model.intercepts[j]).alias(f"z{j}") for j in range(k)])
     top = F.greatest(*[F.col(f"z{j}") for j in range(k)])
     mass = sum((F.exp(F.col(f"z{j}") - F.col("top")) for j in range(k)), F.lit(0.0))
     best = F.array_max(F.array(*[F.struct(F.col(f"z{j}").alias("z"), F.lit(f).alias("family")) for j, f in enumerate(model.families) if j]))
     scored = logits.withColumn("top", top).withColumn("mass", mass).withColumn("best", best).select(
-        key, "paragraph", "words", F.col("best.family").alias("family"),
+        key, "copy", "first", "last", "words", F.col("best.family").alias("family"),
         (F.exp(F.col("best.z") - F.col("top")) / F.col("mass")).alias("score"), (F.exp(F.col("z0") - F.col("top")) / F.col("mass")).alias("none"))
     likely = scored.where("none < 0.5")
-    notices = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("notice")) for f, texts in sorted(NOTICES.items()) for t in texts])
-    whole = pairs(F.col("words"))
-    confirmed = F.exists(notices, lambda t: (t["family"] == F.col("family")) & (
-        F.size(F.array_intersect(F.array_distinct(pairs(tokens(t["notice"]))), whole)) >= CONFIRM * F.size(F.array_distinct(pairs(tokens(t["notice"]))))))
-    return likely.select(key, "paragraph", F.when((F.col("score") >= model.least) & confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"), "score")
+    sure = (F.col("score") >= model.least) & _confirms(F.col("words"), _known(spark), F.col("family"))
+    named = likely.select(key, "copy", "first", "last", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "score")
+    # of runs with a family those without a smaller one inside; lines of no sure family that are in none of them
+    named = named.where((F.col("family") != UNKNOWN) | (F.col("first") == F.col("last")))
+    later = Window.partitionBy(key, "copy", "family").orderBy(F.desc("first"), "last").rowsBetween(Window.unboundedPreceding, -1)
+    least = named.withColumn("inner", F.min("last").over(later)).where((F.col("family") == UNKNOWN) | F.col("inner").isNull() | (F.col("inner") > F.col("last")))
+    # runs of one family that share lines are one paragraph
+    order = Window.partitionBy(key, "copy", "family").orderBy("first")
+    apart = least.withColumn("begins", F.coalesce(F.lag("last").over(order) < F.col("first"), F.lit(True)).cast("int")).withColumn("part", F.sum("begins").over(order))
+    apart = apart.groupBy(key, "copy", "family", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("score").alias("score"))
+    reached = Window.partitionBy(key, "copy").orderBy("first").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.max(F.when(F.col("family") != UNKNOWN, F.col("last"))).over(reached)
+    return apart.withColumn("ends", ends).where((F.col("family") != UNKNOWN) | F.col("ends").isNull() | (F.col("ends") < F.col("first"))).select(key, "first", "last", "family", "score")
 
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """`key`, license, families, n_paragraphs, score for every row of `docs`.
 
+    A paragraph is a line, or the few lines over which a notice is wrapped.
     license is the surest family of the document, `unknown` if only paragraphs of unknown licences
     are there, null without any; families lists all in order. Null and empty texts have none. Rows
     that share a key share their findings. Other columns are not read.

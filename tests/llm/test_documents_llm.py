@@ -323,6 +323,35 @@ def test_op3_a_notice_in_a_third_of_all_documents(documents):
     assert got == {i: ("cc-by-nc", ["cc-by-nc"], 10) if i % 3 == 0 else (None, [], 0) for i in range(900)}
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:""",
+    "gpl": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or""",
+}
+
+
+def test_op3_wrapped_notices(documents):
+    rnd = random.Random(5)
+    prose = lambda: " ".join(rnd.choices("thor erin with the of and oush ation ble under in to a".split(), k=12)).capitalize() + "."
+    rows = [(i, "\n".join(prose() for _ in range(9)), None, None) for i in range(200)]
+    rows += [(1000, WRAPPED["mit"], None, None), (1001, f"{prose()}\n{WRAPPED['bsd']}\n{prose()}", None, None), (1002, f"{prose()}\r\n\r\n" + WRAPPED["gpl"].replace("\n", "\r\n"), None, None)]
+    rows += [(1003, f"{WRAPPED['bsd']}\nReleased under the MIT License.\nLicensed under CC BY 4.0.\n\n{WRAPPED['gpl']}", None, None)]
+    rows += [(1004, "\n".join(L.NOTICES["lgpl"][1].split()), None, None), (1005, "Released under\n\nthe MIT License.", None, None)]
+    docs = documents(rows)
+    got = {r.doc_id: (r.license, r.families, r.n_paragraphs) for r in L.scan(docs, L.fit(docs)).collect()}
+    for i, family in ((1000, "mit"), (1001, "bsd"), (1002, "gpl"), (1004, "lgpl")):
+        assert got[i] == (family, [family], 1), i
+    assert got[1003][1:] == (["bsd", "cc-by", "gpl", "mit"], 4)
+    assert got[1005][0] in (None, "unknown")
+    assert all(got[i] == (None, [], 0) for i in range(200))
+
+
 # --- URL rules ------------------------------------------------------------------------
 
 def brute_url(url, rules):
