@@ -27,8 +27,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id."""
-    return jaccard_join.one_of_each(docs, jaccard_join.join(docs))
+    """One document of each group of near copies, by shingles of five words and 0.8: the smallest doc_id."""
+    return jaccard_join.one_of_each(docs, jaccard_join.join(docs, words=5, least=80))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -411,6 +411,17 @@ def test_pipeline_stages(spark, folder):
     assert all(r.ids == encoding.encode_ordinary(texts[r.doc_id]) for r in docs.collect())
 
 
+def test_pipeline_drops_near_copies_by_five_words_and_080(spark, documents, folder):
+    base = [f"a{i}" for i in range(100)]
+    far = [f"b{i}" for i in range(100)]
+    texts = [base, base + [f"new{i}" for i in range(20)], far, far + [f"other{i}" for i in range(26)]]  # 96 of 116, 96 of 122
+    docs = documents([(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()) == [0, 2, 3]
+    rows = near_rows()
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(rows), folder).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted({c for i, _, c in brute_join(rows, 5, 80) if i is not None})
+
+
 def test_pipeline_of_odd_rows(spark, documents, odd_texts, tmp_path):
     rows = [(i, t, "en", None) for i, t in enumerate(odd_texts)] + [(None, "no id", None, "s")] + lang_rows()[:60]
     documents(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
