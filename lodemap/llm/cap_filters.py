@@ -5,7 +5,8 @@ code; a filter direction is one word of each code, so a few words make a great m
 A vector passes the filters whose direction it exceeds by ALPHA, found by decoding: sums of the
 first half's words against sorted sums of the second half's. Vectors of one label that share a
 filter are compared exactly. Close vectors share some of their filters almost surely, others hardly
-ever. Filters are as many, and ALPHA as high, as the largest label needs for buckets of about LOAD.
+ever. The higher ALPHA, the more filters a vector passes, so that vectors at the threshold share
+no fewer. Filters are as many, and ALPHA as high, as the largest label needs for buckets of about LOAD.
 
 Equal vectors are compared once. A bucket of any size is cut into blocks whose pairs are separate
 groups. Links are never rows: a group adds up its links, each at the first filter that a pair
@@ -27,18 +28,31 @@ from lodemap.operators.graph import components
 from lodemap.scratch import Scratch
 
 PARTS = 2
-#: Filters that a vector is expected to pass, and the fewest: below it, its best ones are taken.
-PASSED, FEWEST = 30, 20
+#: Filters that a vector is expected to pass when a cap holds WIDEST of all vectors, and the fewest: below
+#: it, its best ones are taken. Both grow as caps get smaller.
+PASSED, FEWEST, WIDEST = 30, 20, 0.02
 #: Vectors of a label in a bucket, about; rows of a block of a larger bucket.
 LOAD, BLOCK = 24, 512
 SEED = 11
 
 
+def both(share: float, cosine: float) -> float:
+    """Chance that a vector at `cosine` of one in a cap that holds `share` of all vectors is in it too."""
+    alpha = NormalDist().inv_cdf(1 - share)
+    x = np.linspace(alpha, alpha + 12, 6001)
+    density = np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
+    inner = [1 - NormalDist().cdf((alpha - cosine * v) / np.sqrt(max(1e-12, 1 - cosine * cosine))) for v in x]
+    return float(np.trapezoid(density * inner, x) / share)
+
+
 class Filters:
-    """Codes for `dimension` axes and about PASSED passed filters when a cap holds `share` of all vectors."""
+    """Codes for `dimension` axes when a cap holds `share` of all vectors; vectors at cosine `least` share no fewer filters in small caps."""
 
-    def __init__(self, dimension: int, share: float):
-        self.words = max(2, round((PASSED / share) ** (1 / PARTS)))
+    def __init__(self, dimension: int, share: float, least: float = 0.93):
+        # squared, as the number shared also varies more from pair to pair in small caps
+        more = (both(WIDEST, least) / both(share, least)) ** 2
+        self.passed, self.fewest = PASSED * more, round(FEWEST * more)
+        self.words = max(2, round((self.passed / share) ** (1 / PARTS)))
         self.alpha = NormalDist().inv_cdf(1 - share)
         rng = np.random.default_rng(SEED)
         self.turn = np.linalg.qr(rng.standard_normal((dimension, dimension)))[0]
@@ -62,7 +76,7 @@ class Filters:
         for a, b, at in zip(first, second, order):
             ranked, alpha = -b[at], self.alpha
             n = np.searchsorted(ranked, a - alpha, side="right")
-            while n.sum() < min(FEWEST, size * len(a)):
+            while n.sum() < min(self.fewest, size * len(a)):
                 alpha -= 0.1
                 n = np.searchsorted(ranked, a - alpha, side="right")
             passed = np.repeat(np.arange(len(a)), n)
@@ -72,8 +86,8 @@ class Filters:
 
 
 @lru_cache(8)
-def filters(dimension: int, share: float) -> Filters:
-    return Filters(dimension, share)
+def filters(dimension: int, share: float, least: float) -> Filters:
+    return Filters(dimension, share, least)
 
 
 def group_links(ids: np.ndarray, unit: np.ndarray, copies: np.ndarray, side: np.ndarray | None, bucket: int, passed: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +136,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
     kinds = kinds.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     kinds = scratch.table(kinds.withColumn("d", F.size("v")), "kinds")
     most = kinds.groupBy("label", "d").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    share = min(0.02, LOAD / most)
+    share = min(WIDEST, LOAD / most)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +146,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
                 for d in np.unique(size):
                     rows = part.filter(pa.array(size == d))
                     unit = _unit(rows.column("v"), int(d))
-                    passed = filters(int(d), share).decode(unit)
+                    passed = filters(int(d), share, least).decode(unit)
                     n = [len(p) for p in passed]
                     at = pa.array(np.repeat(np.arange(len(n)), n))
                     yield pa.RecordBatch.from_arrays(
@@ -165,7 +179,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
                 continue
             unit, ids, copies, side = unit[near], ids[near], copies[near], side[near]
             bucket = rows.column("bucket")[0].as_py()
-            count, root = group_links(ids, unit, copies, side if i != j else None, bucket, filters(d, share).decode(unit), least)
+            count, root = group_links(ids, unit, copies, side if i != j else None, bucket, filters(d, share, least).decode(unit), least)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count), pa.array(root)], ["rep", "n", "root"])
 
     found = scratch.table(dealt.mapInArrow(link, "rep long, n long, root long"), "links")

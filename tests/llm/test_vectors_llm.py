@@ -125,6 +125,18 @@ def test_op9_null_ids_and_empty(spark, vectors):
     assert (row.n_links, row.component_id) == (0, None)
 
 
+def test_op9_pairs_at_the_threshold_share_filters_of_large_labels():
+    rng = np.random.default_rng(3)
+    f = C.filters(64, C.LOAD / 300_000, 0.93)
+    missed = 0
+    for _ in range(5):
+        u, w = (x / np.linalg.norm(x, axis=1)[:, None] for x in rng.standard_normal((2, 1000, 64)))
+        w -= (w * u).sum(1)[:, None] * u
+        v = 0.93 * u + np.sqrt(1 - 0.93**2) * w / np.linalg.norm(w, axis=1)[:, None]
+        missed += sum(not len(np.intersect1d(a, b)) for a, b in zip(f.decode(u), f.decode(v)))
+    assert missed <= 2
+
+
 def test_op9_close_pairs_share_filters():
     rng = np.random.default_rng(2)
     a = rng.standard_normal((400, 64))
