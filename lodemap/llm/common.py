@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lodemap.scratch import Scratch
 
@@ -80,3 +80,44 @@ def seeded_sample(df: DataFrame, by: str, key: str, rows: int, seed: str) -> Dat
     counts = Scratch(df.sparkSession, "sample").table(df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), "counts")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     return df.join(counts, by).where(draw * F.col("_n") < rows).drop("_n")
+
+
+def numbered(df: DataFrame, order: list[str | Column], scratch: Scratch, name: str, within: str | None = None) -> DataFrame:
+    """The rows of `df` with `nth`, their place from 1 in the order, or in the order among rows of equal `within`.
+
+    No task holds a whole table or a whole group: rows are dealt by ranges of the order, numbered in
+    their range, and the numbers of earlier ranges are added. `within`, if given, must be what the
+    order begins with. Equal rows are dealt apart by where they were read, so a row repeated any
+    number of times fills no single range.
+    """
+    by = [*order, F.col("_dealt")]
+    dealt = df.withColumn("_dealt", F.monotonically_increasing_id())
+    ranged = dealt.repartitionByRange(*by).sortWithinPartitions(*by).drop("_dealt").withColumn("_range", F.spark_partition_id())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, 0
+        for batch in batches:
+            place = np.arange(1, batch.num_rows + 1, dtype=np.int64)
+            if batch.num_rows and within:
+                key = batch.column(within).to_numpy(zero_copy_only=False)
+                first = np.ones(len(key), bool)
+                first[1:] = key[1:] != key[:-1]
+                start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+                place -= start
+                if key[0] == last:
+                    place[start == 0] += before
+                last, before = key[-1], int(place[-1])
+            elif batch.num_rows:
+                place += before
+                before = int(place[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], [*batch.schema.names, "_place"])
+
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_place", T.LongType())])
+    written = scratch.table(ranged.mapInArrow(count, schema), name)
+    keys = ["_range", *([within] if within else [])]
+    sizes = written.groupBy(*keys).agg(F.max("_place").alias("_size"))
+    earlier = Window.partitionBy(*([within] if within else [])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.sum("_size").over(earlier)).where("_before > 0").select(*keys, "_before")
+    before = scratch.table(before, f"{name}-before")  # a row for each range at most
+    placed = written.join(before, keys, "left").withColumn("nth", F.col("_place") + F.coalesce("_before", F.lit(0)))
+    return placed.select(*df.columns, "nth")

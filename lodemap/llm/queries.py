@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodemap.llm import bpe, cap_filters, jaccard_join, langid, licenses, mixing, rotated_codes, token_files, toxicity, url_filter
+from lodemap.llm import (
+    bpe, cap_filters, jaccard_join, langid, licenses, mixing, prefix_trie, resampling, rotated_codes, token_files, toxicity, url_filter,
+)
 from lodemap.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +149,74 @@ def op10_language_id(spark, folder):
     docs = _documents(spark, folder)
     found = langid.identify(docs, langid.split_fit(docs))
     return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
+@query
+def op12_resampling(spark, folder):
+    return resampling.resample(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+#: CRC-32 in SQL: its table by rule, and the digest of a list `b` of bytes.
+CRC_TABLE = """(SELECT list(c ORDER BY i) FROM (
+  SELECT i, list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), i) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+CRC_OF = "xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+ORACLES["op12_resampling"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), g AS (
+  SELECT unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark
+), f AS (SELECT r, unnest(ws) AS w FROM d
+), v AS (
+  SELECT w, {CRC_TABLE} AS t, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT w FROM f UNION SELECT w FROM g)
+), k AS (SELECT w, {CRC_OF} % 10000 AS bucket FROM v
+), s AS (SELECT bucket, count(*) AS n FROM f JOIN k USING (w) GROUP BY 1
+), t AS (SELECT bucket, count(*) AS n FROM g JOIN k USING (w) GROUP BY 1
+), gain AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+      / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), w AS (SELECT r, sum(gain)::BIGINT AS weight FROM f JOIN k USING (w) JOIN gain USING (bucket) GROUP BY 1
+), p AS (
+  SELECT d.r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w ON w.r = d.r
+), q AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS place, count(*) OVER () AS n FROM p WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM p LEFT JOIN q USING (r)
+"""
+
+
+@query
+def op13_prefix_trie(spark, folder):
+    return prefix_trie.trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH u AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, {CRC_OF} % 9 AS h FROM (
+    SELECT DISTINCT conv_id, {CRC_TABLE} AS t, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS b FROM u)
+), z AS (
+  SELECT c.conv_id, 0 AS own, p, r, x FROM c JOIN u ON u.conv_id = c.conv_id - c.conv_id % 5 AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, r, x FROM c JOIN u ON u.conv_id = c.conv_id AND p > h
+), s AS (
+  SELECT c.conv_id, coalesce(k, []) AS k
+  FROM c LEFT JOIN (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY own, p) AS k FROM z GROUP BY 1) y ON y.conv_id = c.conv_id
+), o AS (SELECT conv_id, d, len(k) AS length, k[1:d] AS k FROM (SELECT conv_id, k, unnest(range(len(k) + 1)) AS d FROM s)
+), n AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = (SELECT len(s.k) FROM s WHERE s.conv_id = o.conv_id)), '')) AS ends_sha256
+  FROM o GROUP BY k, d
+), e AS (SELECT a.*, CASE WHEN a.d > 0 THEN (a.n_convs - 1) * strlen(a.k[a.d].x) ELSE 0 END AS saved, (SELECT count(*) FROM n b WHERE b.d = a.d + 1 AND b.k[1:a.d] = a.k) AS n_children FROM n a
+), up AS (SELECT k, d, saved, n_children, unnest(range(d + 1)) AS a FROM e
+), tot AS (SELECT k[1:a] AS k, a AS d, sum(saved)::BIGINT AS saved_tokens, sum((n_children = 0)::INT)::BIGINT AS n_leaves FROM up GROUP BY 1, 2)
+SELECT e.conv_id, e.d AS depth, q.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, e.ends_sha256
+FROM e JOIN tot ON tot.d = e.d AND tot.k = e.k LEFT JOIN n q ON q.d = e.d - 1 AND q.k = e.k[1:e.d - 1]
+"""
