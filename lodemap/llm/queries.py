@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodemap.llm import (
-    bpe, cap_filters, jaccard_join, langid, licenses, mixing, prefix_trie, resampling, rotated_codes, token_files, toxicity, url_filter,
+    bpe, cap_filters, jaccard_join, langid, licenses, mixing, prefix_trie, quality, resampling, rotated_codes, token_files, toxicity, url_filter,
 )
 from lodemap.llm.common import bucket_of
 
@@ -151,6 +151,13 @@ def op10_language_id(spark, folder):
     return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
+@query
+def op11_quality(spark, folder):
+    docs = _documents(spark, folder)
+    model = quality.split_fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return quality.quality(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
 @query
 def op12_resampling(spark, folder):
     return resampling.resample(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
