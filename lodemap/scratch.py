@@ -24,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     made = tempfile.mkdtemp(prefix="lodemap-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(made)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 class Scratch:
@@ -45,6 +45,18 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table of this call that no later plan reads."""
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Delete all tables of this call. Plans that read them, its result's included, end with it."""
+        self._delete(self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
