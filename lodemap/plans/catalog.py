@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodemap.functions import text as tx
-from lodemap.operators import compare as M, concepts as C, display as D, graph as G, groups as E, relate as R, vectors as V
+from lodemap.operators import compare as M, concepts as C, display as D, graph as G, groups as E, near as N, relate as R, vectors as V
 from lodemap.plans import maps
 from lodemap.plans.maps import DOC_BAND, TURN_BAND, WHOLE_BAND
 from lodemap.scratch import Scratch
@@ -177,6 +177,12 @@ def dedup_exact(spark, folder):
     return C.dedup_exact(read_documents(spark, folder))
 
 
+@query
+def dedup_near(spark, folder):
+    """Groups of near copies, by shingles of five words and a similarity of 0.8."""
+    return N.dedup_near(read_documents(spark, folder))
+
+
 @query
 def stopwords_removed(spark, folder):
     """Turn tokens without the concepts that are in over a tenth of all turns."""

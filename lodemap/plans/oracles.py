@@ -126,6 +126,16 @@ WHERE NOT EXISTS (SELECT 1 FROM stats WHERE concept = tok AND df > 0.1 * (SELECT
 GROUP BY 1, 2""")
 sql("quality_semi", final="SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 sql("dedup_exact", final="SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+sql("dedup_near", DOC_UNITS, """sets AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE
+  WHEN len(toks) >= 5 THEN list_transform(range(1, len(toks) - 3), lambda i: array_to_string(toks[i:i + 4], ' '))
+  WHEN len(toks) > 0 THEN [array_to_string(toks, ' ')] ELSE [] END) AS g FROM units)""",
+    "sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1)",
+    """links AS MATERIALIZED (SELECT x, y FROM (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) p
+  JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c))""",
+    "reach AS (SELECT doc_id AS root, doc_id AS d FROM documents UNION SELECT r.root, l.y FROM reach r JOIN links l ON l.x = r.d)",
+    final="""SELECT u.doc_id, coalesce(s.n, 0) AS n_shingles, g.group_id
+FROM units u LEFT JOIN sizes s ON s.doc_id = u.doc_id JOIN (SELECT d, min(root) AS group_id FROM reach GROUP BY d) g ON g.d = u.doc_id""", recursive=True)
 sql("tfidf", *WHOLE_TURNS, TURN_MENTIONS, final="""SELECT conv_id, turn, m.concept, m.tf,
   round(m.tf * ln(((SELECT count(*) FROM conversations)::DOUBLE + 1) / (v.df + 1)), 6) AS score
 FROM ment m JOIN vocab v ON m.concept = v.concept""")
