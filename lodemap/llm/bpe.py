@@ -111,7 +111,7 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return counts, pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), buffer])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Array, np.ndarray, pa.Array, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[tuple[int, pa.Array, np.ndarray, pa.Array, np.ndarray]]:
     """(block, keys, number of pre-tokens of each, distinct words, number of each pre-token's word).
 
     A block's id is a hash of its place and content, so a different deal of rows is noticed.
@@ -130,7 +130,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         counts, words = pieces(batch.column("text"))
         kept.append((batch.column(key), counts, words.dictionary_encode()))
         size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-        if size >= BLOCK_BYTES:
+        if size >= limit:
             yield close()
             number, kept, size = number + 1, [], 0
     if kept:
@@ -175,7 +175,7 @@ def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", block_bytes: int | None = None) -> DataFrame:
     """`key`, ids (array of int) for every row of `docs`, from its whole text; null and empty: no ids.
 
     `docs` must be dealt to tasks alike whenever it is read, as a scan of files is; where it
@@ -186,14 +186,14 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id") ->
     held = spark.sparkContext.broadcast(ranks)
 
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, words, _ in _blocks(batches, key):
+        for block, _, _, words, _ in _blocks(batches, key, block_bytes):
             for start in range(0, len(words), 50_000):
                 part = words.slice(start, 50_000)
                 number = np.arange(start, start + len(part), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(number), part], ["block", "number", "word"])
 
     def list_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, keys, counts, _, where in _blocks(batches, key):
+        for block, keys, counts, _, where in _blocks(batches, key, block_bytes):
             lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in (keys, pa.array(counts))]
             yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([_packed(where)], pa.binary())], ["block", "keys", "counts", "places"])
 
@@ -270,9 +270,9 @@ def decode(encoded: DataFrame, ranks: bytes, key: str = "doc_id") -> DataFrame:
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids array<int>, bytes binary")
 
 
-def digests(docs: DataFrame, ranks: bytes, pattern: str, *more: str, key: str = "doc_id") -> DataFrame:
+def digests(docs: DataFrame, ranks: bytes, pattern: str, *more: str, key: str = "doc_id", block_bytes: int | None = None) -> DataFrame:
     """`key`, n_tokens, SHA-256 of the ids and of the decoded bytes, and `more` of ids and bytes."""
-    return decode(encode(docs, ranks, pattern, key), ranks, key).select(
+    return decode(encode(docs, ranks, pattern, key, block_bytes), ranks, key).select(
         key, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"), *more)

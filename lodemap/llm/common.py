@@ -35,6 +35,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # a worker serves stage after stage
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -9,9 +9,11 @@ cost, of keys to write and of list entries to scan, over the sizes of all docume
 
 Equal sets are one node of the graph. A list of up to SHORT sets gives its pairs that pass the size
 and position filters. A longer list first gives a star around one set, since its sets are mostly
-near copies of each other. Where that leaves a long list in more than one component, its blocks are
-compared by parity bitmaps, which bound the overlap from above, and pairs of different components
-that pass are verified. So no group is expanded into all pairs and no link between components is lost.
+near copies of each other. Where that leaves a long list in more than one component, rounds of stars
+around several members tie those outside its largest component to it, and what is left outside is
+compared with the whole list in blocks, by parity bitmaps, which bound the overlap from above.
+Pairs of different components that pass are verified. So no group is expanded into all pairs and
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,16 +29,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodemap.llm.common import find, hash_words, mix, slices, words_of
 from lodemap.operators.graph import components
+from lodemap.operators.linking import across, star_rounds
 from lodemap.scratch import Scratch
 
 #: Words of a shingle, and the similarity in hundredths.
 WORDS, LEAST = 4, 85
 #: Words whose counts order the shingles; all others count as rarest.
 COMMON = 1 << 16
-#: Sets of a list that gives all its pairs; sets of a block of a longer one; bits of a bitmap.
-SHORT, BLOCK, BITS = 32, 256, 2048
+#: Sets of a list that gives all its pairs; bits of a bitmap.
+SHORT, BITS = 32, 2048
 CLASS_BITS = 6
-FILTER_BITS = 1 << 20
+#: Bits for each id of a test, the most of them, and bits of a page of Spark's bitmaps.
+FILTER_SHARE, FILTER_BITS, PAGE = 16, 1 << 25, 1 << 15
 
 
 def overlap(a, b, least: int = LEAST):
@@ -171,18 +175,18 @@ def _may_link(least: int):
 
 
 def _perhaps_among(ids: DataFrame, key: str) -> Column:
-    """A test that every row with one of `ids` passes, and few others while ids are few.
+    """A test that every row with one of the written `ids` passes, and few others.
 
-    One bit for each hash value: FILTER_BITS of them, whatever the number of ids, so that texts of
+    About FILTER_SHARE bits for each id, up to FILTER_BITS (beyond, more rows pass), so that the texts of
     most other rows need not be shuffled.
     """
-    at = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
-    words = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 8).cast("int").alias("byte")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))).alias("bits")).collect()
-    bits = bytearray(FILTER_BITS // 8)
-    for r in words:
-        bits[r["byte"]] = r["bits"]
-    byte = F.conv(F.hex(F.substr(F.lit(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bits = min(FILTER_BITS, max(PAGE, 1 << (FILTER_SHARE * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    pages = ids.select(F.floor(at / PAGE).alias("page"), (at % PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("set"))
+    out = bytearray(bits // 8)
+    for row in pages.collect():  # a row for each page of 4 KB
+        out[row["page"] * PAGE // 8 : (row["page"] + 1) * PAGE // 8] = row["set"]
+    byte = F.conv(F.hex(F.substr(F.lit(out), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
@@ -229,12 +233,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 def candidate_pairs(n: np.ndarray, at: np.ndarray, single: np.ndarray, light: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs of a list that may link by size and position."""
     i, j = np.triu_indices(len(n), 1)
-    need = overlap(n[i], n[j], least)
-    fits = (need <= np.minimum(n[i], n[j])) & (~single[i] | (n[i] > light) | (n[j] > light))
-    fits &= ~single[i] | (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
+    fits = list_fits(n[i], n[j], at[i], at[j], single[i], light, least)
     return i[fits], j[fits]
 
 
+def list_fits(n: np.ndarray, m: np.ndarray, at: np.ndarray, to: np.ndarray, single: np.ndarray, light: int, least: int) -> np.ndarray:
+    """Whether sets of sizes n and m, at these places in one list, may link."""
+    need = overlap(n, m, least)
+    fits = (need <= np.minimum(n, m)) & (~single | (n > light) | (m > light))
+    return fits & (~single | (np.minimum(n - at, m - to) >= need))
+
+
 def star(node: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs around one set for each band of sizes of a long list."""
     order, left, right = np.argsort(n, kind="stable"), [], []
@@ -320,10 +329,15 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
     pairs = scratch.table(found.where("dst IS NOT NULL").select("src", "dst").distinct(), "pairs")
     long = scratch.table(found.where("dst IS NULL").select("key", F.col("src").alias("node"), "n", "at", "single"), "long")
     maps = scratch.table(marked.where("bits IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), "bitmaps")
-    # pairs whose bitmaps allow the overlap
-    both = pairs.join(maps.select(F.col("node").alias("dst"), F.col("bits").alias("b"), F.col("n").alias("m")), "dst").join(
-        maps.select(F.col("node").alias("src"), F.col("bits").alias("a"), "n"), "src")
-    pairs = scratch.table(both.mapInArrow(_may_link(least), "src long, dst long"), "likely")
+
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose bitmaps allow the overlap."""
+        both = pairs.join(maps.select(F.col("node").alias("dst"), F.col("bits").alias("b"), F.col("n").alias("m")), "dst").join(
+            maps.select(F.col("node").alias("src"), F.col("bits").alias("a"), "n"), "src")
+        return scratch.table(both.mapInArrow(_may_link(least), "src long, dst long"), name)
+
+    pairs = likely(pairs, "likely")
+
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(*held.value), set()
         for batch in slices(batches):
@@ -351,36 +365,35 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
     nodes = scratch.table(pairs.select(F.explode(F.array("src", "dst")).alias("node")).union(long.select("node")).distinct(), "nodes")
     edges = links(pairs, "links")
     if not long.isEmpty():
-        first = scratch.table(components(nodes, edges), "first")
-        torn = long.join(first, "node")
-        open_ = scratch.table(torn.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("key", "m"), "open")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        dealt = scratch.table(torn, "torn").join(open_, "key").join(maps.select("node", "bits"), "node").withColumn("blocks", blocks)
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "at", "single", "comp", "bits")
-
-        def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _tables(batches, ("key", "i", "j")):
-                node, n, at, single, comp, own = (rows.column(c).to_numpy() for c in ("node", "n", "at", "single", "comp", "own"))
-                bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-                a, b = candidate_pairs(n, at, single, light, least)
-                apart = (comp[a] != comp[b]) & ((own[a] != own[b]) | (rows.column("i")[0] == rows.column("j")[0]))
-                a, b = a[apart], b[apart]
-                keep = np.zeros(len(a), bool)
-                for s in range(0, len(a), 1 << 14):
-                    x, y = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
-                    keep[s : s + len(x)] = _allowed(bits[x], bits[y], n[x], n[y], least)
-                if keep.any():
-                    yield _pairs_batch(node[a[keep]], node[b[keep]])
-
-        rest = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(block_pairs, "src long, dst long").distinct()
-        edges = edges.unionByName(links(scratch.table(rest, "rest"), "links2"))
+        def linked(pairs: DataFrame, name: str) -> DataFrame:
+            return links(likely(pairs, f"{name}-likely"), name)
+
+        def may_link(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            (n, at, single), (m, to, _) = ([t.column(c).to_numpy() for c in ("n", "at", "single")] for t in (a, b))
+            x, y = (np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1) for t in (a, b))
+            i, j = np.divmod(np.arange(len(n) * len(m)), len(m))
+            fits = list_fits(n[i], m[j], at[i], to[j], single[i], light, least)
+            i, j = i[fits], j[fits]
+            keep = np.zeros(len(i), bool)
+            for s in range(0, len(i), 1 << 14):
+                u, v = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                keep[s : s + len(u)] = _allowed(x[u], y[v], n[u].astype(np.int64), m[v].astype(np.int64), least)
+            return i[keep], j[keep]
+
+        _, found, left = star_rounds(scratch.table(long.select("key", "node"), "members"), linked, scratch, edges)
+        for more in found:
+            edges = edges.unionByName(more)
+        if left is not None:
+            left = scratch.table(left, "left").join(long, ["key", "node"]).join(maps.select("node", "bits"), "node")
+            rest = across(left, ["n", "at", "single", "bits"], may_link, "long")
+            edges = edges.unionByName(links(scratch.table(rest, "rest"), "links2"))
     comps = components(nodes, edges)
     # every node of the graph by its smallest document
     least_key = marked.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("low"))
     placed = scratch.table(least_key.join(comps, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp")), "placed")
     roots = scratch.table(placed.groupBy("comp").agg(F.min("low").alias("component_id")), "roots")
     named = scratch.table(placed.join(roots, "comp").select("node", "component_id"), "named")
+    held.unpersist()
     return marked.select(key, "n", "node").join(named, "node", "left").select(
         key, F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
 
@@ -398,21 +411,3 @@ def one_of_each(docs: DataFrame, joined: DataFrame, key: str = "doc_id") -> Data
     if repeated.isEmpty():
         return kept
     return kept.unionByName(docs.join(repeated.select(key), key, "left_semi").dropDuplicates([key]).select(docs.columns))
-
-
-def _tables(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Runs of equal keys (numbers) of sorted batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in key]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(change)]
-        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
-            if held and any(held[-1].column(k)[0] != batch.column(k)[int(a)] for k in key):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)

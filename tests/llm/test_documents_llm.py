@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodemap.operators import linking
+from lodemap.scratch import Scratch
 from lodemap.llm import bpe, jaccard_join as J, langid, licenses as L, mixing as M, queries, toxicity as X, url_filter as U
 
 
@@ -165,10 +167,36 @@ def test_op5_components(documents, monkeypatch, light):
 
 def test_op5_long_lists_in_blocks(documents, monkeypatch):
     monkeypatch.setattr(J, "SHORT", 3)
-    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(linking, "BLOCK", 8)
+    monkeypatch.setattr(linking, "SLOW", 0.0)  # one round of stars, then blocks
+    monkeypatch.setattr(linking, "FEW", 0)
     assert joined(documents(near_rows())) == brute_join(near_rows())
 
 
+def test_op5_pairs_of_one_large_group_grow_in_proportion(documents, monkeypatch):
+    """Documents that are all near copies of one: pairs that are checked follow their number, not its square."""
+    rnd, table, checked = random.Random(9), Scratch.table, []
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+
+    def watch(self, df, name):
+        out = table(self, df, name)
+        if name == "likely" or name == "rest" or name.endswith("-likely"):
+            checked[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "table", watch)
+    for n in (400, 1200):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for at in rnd.sample(range(200), 2):
+                words[at] = f"x{rnd.randrange(10**9)}"
+            rows.append((i, " ".join(words), "en", "s"))
+        checked.append(0)
+        assert {r["component_id"] for r in J.join(documents(rows)).collect()} == {0}
+    assert checked[1] < 20_000 and checked[1] < 4.5 * checked[0]
+
+
 def test_op5_empty_and_one_of_each(documents):
     assert J.join(documents([])).count() == 0
     rows = near_rows()
@@ -400,7 +428,7 @@ def test_pipeline_stages(spark, folder):
             assert docs.columns == columns
         if number == 2:
             rows = [(r.doc_id, r.text) for r in before.collect()]
-            assert sorted(r.doc_id for r in docs.collect()) == sorted({c for _, _, c in brute_join(rows)})
+            assert sorted(r.doc_id for r in docs.collect()) == sorted({c for _, _, c in brute_join(rows, 5, 80)})
         if number == 3:
             sizes = {r.source: r.n for r in before.groupBy("source").agg(F.collect_list(M.size()).alias("n")).collect()}
             want = brute_targets({s: sum(n) for s, n in sizes.items()})
