@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lodemap.llm import bpe, jaccard_join, langid, mixing, toxicity
 from lodemap.scratch import Scratch
 
+#: Text of a block of the encoder: workers that have served four stages before hold less at once.
+BPE_BLOCK_BYTES = 6 << 20
+
 #: Learned models and component searches are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
@@ -39,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of what they decode to, and the ids."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(docs, ranks, public_tokenizers.PATTERN, "ids")
+    return bpe.digests(docs, ranks, public_tokenizers.PATTERN, "ids", block_bytes=BPE_BLOCK_BYTES)
 
 
 STAGES = [("language ID", language_id), ("toxicity", toxic), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("byte-level BPE", encode)]
