@@ -36,7 +36,7 @@ from lodemap.scratch import Scratch
 WORDS, LEAST = 4, 85
 #: Words whose counts order the shingles; all others count as rarest.
 COMMON = 1 << 16
-#: Sets of a list that gives all its pairs; bits of a bitmap.
+#: Sets of a list that gives all its pairs; places of a bitmap at least.
 SHORT, BITS = 32, 2048
 CLASS_BITS = 6
 #: Bits for each id of a test, the most of them, and bits of a page of Spark's bitmaps.
@@ -155,21 +155,44 @@ def _identity(keys: np.ndarray) -> int:
 
 
 def _bitmap(keys: np.ndarray) -> bytes:
-    """Parity of the number of keys at each of BITS places."""
-    return np.packbits(np.bincount((keys % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
-
-
-def _allowed(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: int) -> np.ndarray:
-    """Whether sets of sizes n and m may link: bitmaps differ in no more places than their sets in keys."""
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= n + m - 2 * overlap(n, m, least)
+    """Parity of the number of keys at each place; a power of two of places, about two to four for a key."""
+    places = max(BITS, 1 << (2 * len(keys)).bit_length())
+    return np.packbits(np.bincount((keys % np.uint64(places)).astype(np.int64), minlength=places) & 1).tobytes()
+
+
+def _folded(bitmap: bytes, size: int) -> np.ndarray:
+    """A bitmap of `size` bytes: parities of places that fall together."""
+    x = np.frombuffer(bitmap, np.uint64)
+    while x.nbytes > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _allowed(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray, least: int) -> np.ndarray:
+    """Whether sets i of `a` and j of `b` may link: bitmaps differ in no more places than their sets, of sizes n and m, in keys."""
+    size = np.minimum(np.fromiter(map(len, a), np.int64, len(a))[i], np.fromiter(map(len, b), np.int64, len(b))[j])
+    out, most = np.zeros(len(i), bool), n + m - 2 * overlap(n, m, least)
+    for width in np.unique(size):
+        at = np.flatnonzero(size == width)
+        left, u = np.unique(i[at], return_inverse=True)
+        right, v = np.unique(j[at], return_inverse=True)
+        x, y = (np.stack([_folded(side[k], width) for k in use]) for side, use in ((a, left), (b, right)))
+        step = max(1, (4 << 20) // int(width))
+        for s in range(0, len(at), step):
+            part = at[s : s + step]
+            differ = np.bitwise_count(x[u[s : s + step]] ^ y[v[s : s + step]]).sum(1, dtype=np.int64)
+            out[part] = differ <= most[part]
+    return out
 
 
 def _may_link(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64) for c in "ab")
-            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in "nm")
-            yield batch.select(["src", "dst"]).filter(pa.array(_allowed(a, b, n, m, least)))
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1024):
+                batch = whole.slice(s, 1024)
+                n, m = (batch.column(c).to_numpy().astype(np.int64) for c in "nm")
+                at = np.arange(batch.num_rows)
+                yield batch.select(["src", "dst"]).filter(pa.array(_allowed(batch.column("a").to_pylist(), batch.column("b").to_pylist(), at, at, n, m, least)))
 
     return run
 
@@ -328,7 +351,10 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
     found = scratch.table(lists.mapInArrow(list_pairs, "src long, dst long, key long, n int, at int, single boolean"), "found")
     pairs = scratch.table(found.where("dst IS NOT NULL").select("src", "dst").distinct(), "pairs")
     long = scratch.table(found.where("dst IS NULL").select("key", F.col("src").alias("node"), "n", "at", "single"), "long")
-    maps = scratch.table(marked.where("bits IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), "bitmaps")
+    # only nodes of a pair or a long list are compared: their ids go to the marks, not all bitmaps to the ids
+    nodes = scratch.table(pairs.select(F.explode(F.array("src", "dst")).alias("node")).union(long.select("node")).distinct(), "nodes")
+    maps = marked.where("bits IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n"))
+    maps = scratch.table(maps, "bitmaps")
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose bitmaps allow the overlap."""
@@ -362,7 +388,6 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
         scratch.drop(f"{name}-sets")
         return out
 
-    nodes = scratch.table(pairs.select(F.explode(F.array("src", "dst")).alias("node")).union(long.select("node")).distinct(), "nodes")
     edges = links(pairs, "links")
     if not long.isEmpty():
         def linked(pairs: DataFrame, name: str) -> DataFrame:
@@ -370,14 +395,10 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
 
         def may_link(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             (n, at, single), (m, to, _) = ([t.column(c).to_numpy() for c in ("n", "at", "single")] for t in (a, b))
-            x, y = (np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1) for t in (a, b))
             i, j = np.divmod(np.arange(len(n) * len(m)), len(m))
             fits = list_fits(n[i], m[j], at[i], to[j], single[i], light, least)
             i, j = i[fits], j[fits]
-            keep = np.zeros(len(i), bool)
-            for s in range(0, len(i), 1 << 14):
-                u, v = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-                keep[s : s + len(u)] = _allowed(x[u], y[v], n[u].astype(np.int64), m[v].astype(np.int64), least)
+            keep = _allowed(a.column("bits").to_pylist(), b.column("bits").to_pylist(), i, j, n[i].astype(np.int64), m[j].astype(np.int64), least)
             return i[keep], j[keep]
 
         _, found, left = star_rounds(scratch.table(long.select("key", "node"), "members"), linked, scratch, edges)
