@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodemap.operators import cells
 from lodemap.scratch import Scratch
 
 # Task functions travel by value: executors need no copy of this package.
@@ -181,44 +182,34 @@ def knn_exact(vectors: DataFrame, k: int, block_rows: int = BLOCK) -> DataFrame:
     return _with_copies(vectors, distinct, found, k, scratch)
 
 
-def knn_approx(
-    vectors: DataFrame, k: int, dim: int, tables: int, bits: int, seed: int = 7, block_rows: int = BLOCK,
-) -> DataFrame:
-    """As `knn_exact` over candidates that share a bucket in one of `tables` hash tables.
+def _found_by(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of `right` for each row of `left`, itself excluded."""
+    parts = []
+    for s in range(0, len(left), STRIP):
+        own = left.iloc[s:s + STRIP]
+        a, b = own["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        if len(a) and len(b):
+            sim = np.round(_unit(own) @ _unit(right).T, 6)
+            sim[a[:, None] == b[None, :]] = -np.inf
+            parts.append(_best(a, b, sim, k))
+    return _gathered(parts)
 
-    A bucket is the sign pattern of `bits` fixed random planes, whatever the number of vectors:
-    the caller's `bits` and `tables` settle cost and recall, and candidates stay candidates as
-    the table grows. A bucket of any size is cut into blocks and compared whole.
+
+def knn_approx(vectors: DataFrame, k: int, probes: int = cells.PROBES, leaf: int = cells.LEAF, seed: int = 7) -> DataFrame:
+    """As `knn_exact` over the vectors in the `probes` cells nearest to each vector, about `leaf` in each.
+
+    Cost per vector does not grow with the table; `probes` and `leaf` settle it, and the recall. Similarities
+    are exact. A vector whose cells hold fewer than k others has fewer rows.
     """
-    scratch = Scratch(vectors.sparkSession, "lsh")
+    scratch = Scratch(vectors.sparkSession, "cells")
     distinct = _distinct(vectors, scratch)
-    dealt = _hashed(distinct, scratch, dim, tables, bits, seed, block_rows)
-    found = _knn(dealt, F.col("blocks"), k).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
+    index = cells.Index(distinct.select("vec_id", "v"), scratch, leaf, seed)
+    if index.placed is None:
+        return knn_exact(vectors, k)  # an empty table
+    found = index.compared(probes, lambda left, right: _found_by(left, right, k), "src long, dst long, sim double")
     return _with_copies(vectors, distinct, found, k, scratch)
 
 
-def _hashed(distinct, scratch: Scratch, dim, tables, bits, seed, block_rows) -> DataFrame:
-    """bucket, vec_id, v, blocks: every vector once per hash table."""
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, dim)).tolist()
-    codes = distinct.select("vec_id", F.posexplode(_signatures(planes, tables, bits)("v")).alias("tab", "code"))
-    bucketed = scratch.table(codes.select("vec_id", F.xxhash64("tab", "code").alias("bucket")), "buckets")
-    blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
-    counts = scratch.table(bucketed.groupBy("bucket").agg(blocks.alias("blocks")), "counts")
-    return bucketed.join(counts, "bucket").join(distinct.select("vec_id", "v"), "vec_id")
-
-
-def _signatures(planes: list[list[float]], tables: int, bits: int) -> Callable:
-    """Per hash table one code: bit i is the side of its plane i."""
-
-    @F.pandas_udf("array<long>")
-    def codes(v: pd.Series) -> pd.Series:
-        vectors = np.stack(v.to_numpy())
-        signs = vectors @ np.array(planes).reshape(tables * bits, vectors.shape[1]).T > 0
-        return pd.Series(list(signs.reshape(len(signs), tables, bits) @ (1 << np.arange(bits))))
-
-    return codes
-
-
 def _over(tau: float) -> Callable:
     def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         parts = []
@@ -258,14 +249,26 @@ def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK) -> Da
     return _with_stars(vectors, distinct, found)
 
 
-def similar_pairs_approx(
-    vectors: DataFrame, tau: float, dim: int, tables: int, bits: int, seed: int = 7, block_rows: int = BLOCK,
-) -> DataFrame:
-    """As `similar_pairs`, over the candidates of `knn_approx`: no wrong pair, some missing."""
+def similar_pairs_approx(vectors: DataFrame, tau: float, probes: int = cells.PROBES, leaf: int = cells.LEAF, seed: int = 7) -> DataFrame:
+    """As `similar_pairs`, over the cells of `knn_approx`: no wrong pair, some missing."""
     scratch = Scratch(vectors.sparkSession, "similar")
     distinct = _distinct(vectors, scratch)
-    dealt = _hashed(distinct, scratch, dim, tables, bits, seed, block_rows)
-    found = _blocked(dealt, F.col("blocks"), _over(tau), "src long, dst long, sim double")
+    index = cells.Index(distinct.select("vec_id", "v"), scratch, leaf, seed)
+    if index.placed is None:
+        return similar_pairs(vectors, tau)
+
+    def keep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for s in range(0, len(left), STRIP):
+            own = left.iloc[s:s + STRIP]
+            if len(own) and len(right):
+                sim = np.round(_unit(own) @ _unit(right).T, 6)
+                r, c = np.nonzero(sim >= tau)
+                x, y = own["vec_id"].to_numpy()[r], right["vec_id"].to_numpy()[c]
+                parts.append(pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y), "sim": sim[r, c]})[x != y])
+        return _gathered(parts)
+
+    found = index.compared(probes, keep, "src long, dst long, sim double")
     return _with_stars(vectors, distinct, found.groupBy("src", "dst").agg(F.max("sim").alias("sim")))
 
 

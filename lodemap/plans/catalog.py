@@ -15,6 +15,8 @@ from lodemap.sources import parse_relations, read_documents, read_turns, read_ve
 from lodemap.sources.readers import read_events
 from lodemap.sources.sinks import top_map
 from lodemap.streaming import trends as S
+from lodemap.streaming.edges import read_edges, upsert_edges as upsert_edges_of
+from lodemap.streaming.progress import late_rows as late_rows_of, progress_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,13 +296,13 @@ def knn_exact(spark, folder):
 
 @query
 def knn_approx(spark, folder):
-    return V.knn_approx(read_vectors(spark, folder), 5, dim=64, tables=24, bits=4)
+    return V.knn_approx(read_vectors(spark, folder), 5)
 
 
 @query
 def knn_recall(spark, folder):
     vectors = read_vectors(spark, folder)
-    found = V.recall(V.knn_approx(vectors, 5, dim=64, tables=24, bits=4), V.knn_exact(vectors, 5))
+    found = V.recall(V.knn_approx(vectors, 5), V.knn_exact(vectors, 5))
     return found.select("n_exact", (F.col("recall") >= 0.9).alias("enough"))
 
 
@@ -311,7 +313,7 @@ def similar_pairs(spark, folder):
 
 @query
 def similar_pairs_approx(spark, folder):
-    return V.similar_pairs_approx(read_vectors(spark, folder), 0.4, dim=64, tables=24, bits=4)
+    return V.similar_pairs_approx(read_vectors(spark, folder), 0.4)
 
 
 @query
@@ -622,8 +624,8 @@ def tagged_trend(spark, folder):
 @query
 def upsert_edges(spark, folder):
     scratch = Scratch(spark, "upsert")
-    S.upsert_edges(stream_events(spark, folder), scratch.path("edges"), scratch.path("checkpoint")).awaitTermination()
-    return S.read_edges(spark, scratch.path("edges"))
+    upsert_edges_of(stream_events(spark, folder), scratch.path("edges"), scratch.path("checkpoint")).awaitTermination()
+    return read_edges(spark, scratch.path("edges"))
 
 
 @query
@@ -642,6 +644,8 @@ def late_rows(spark, folder):
     stream = stream_events(spark, wave, pattern="*.parquet")
     S.run_to_table(S.dedup_stream(stream, "1 hour"), scratch.path("out"), scratch.path("checkpoint"))
     raw.where(is_late).write.mode("append").parquet(wave)
-    second = S.run_to_table(S.dedup_stream(stream, "1 hour"), scratch.path("out"), scratch.path("checkpoint"))
-    report = spark.createDataFrame(S.late_rows(second), "batch_id long, n_input long, n_dropped long")
+    with progress_of(spark, scratch.path("reports")) as reports:
+        second = S.run_to_table(S.dedup_stream(stream, "1 hour"), scratch.path("out"), scratch.path("checkpoint"))
+        reports.wait(str(second.runId))
+        report = late_rows_of(reports.read())
     return report.agg(F.sum("n_input").alias("n_input"), F.sum("n_dropped").alias("n_dropped"))

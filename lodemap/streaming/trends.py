@@ -67,50 +67,6 @@ def tag_stream(events: DataFrame, dictionary: DataFrame) -> DataFrame:
     return events.withColumn("k", k).join(dictionary, "k", "left")
 
 
-def event_edges(events: DataFrame) -> DataFrame:
-    """Edges between an event's type and the number in its `props`, with counts."""
-    k = F.from_json("props", "map<string,string>")["k"]
-    return (
-        events.select(F.col("event_type").alias("src"), F.concat(F.lit("k"), k).alias("dst"))
-        .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def upsert_edges(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep an edge table up to date from a stream; `read_edges` gives the sums.
-
-    Each batch writes its own counts to its own partition. A batch that is run again after a
-    failure overwrites that partition, so nothing is counted twice, and no batch rewrites
-    what earlier ones wrote.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            event_edges(batch).withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(path)
-        )
-
-    return (
-        events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-
-
-def read_edges(spark, path: str) -> DataFrame:
-    """The edge table of `upsert_edges`, summed over batches."""
-    return (
-        spark.read.schema("src string, dst string, n long, batch_id long").parquet(path)
-        .groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    )
-
-
-def compact_edges(spark, path: str, into: str) -> None:
-    """Sum all batches of `path` into one new table `into`, as batch -1."""
-    read_edges(spark, path).withColumn("batch_id", F.lit(-1).cast("long")).write.mode("overwrite").partitionBy(
-        "batch_id"
-    ).parquet(into)
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Run a stream over all data now present, into Parquet files, and wait for it."""
     query = (
@@ -120,19 +76,3 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
     query.awaitTermination()
     return query
-
-
-def late_rows(query: StreamingQuery) -> list[dict]:
-    """Per batch of a finished or running query: input rows and rows the watermark dropped.
-
-    Spark counts dropped rows after the map-side partial aggregation, so the number is a
-    lower bound on dropped input rows unless the stream is keyed per row.
-    """
-    return [
-        {
-            "batch_id": p["batchId"],
-            "n_input": p["numInputRows"],
-            "n_dropped": sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]),
-        }
-        for p in query.recentProgress
-    ]

@@ -1,11 +1,13 @@
 import datetime as dt
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodemap import schemas
 from lodemap.sources import stream_events
-from lodemap.streaming import trends as S
+from lodemap.streaming import edges as E, trends as S
+from lodemap.streaming.progress import late_rows, progress_of
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -26,7 +28,10 @@ class Feed:
 
     def run(self, build, name="out"):
         stream = build(stream_events(self.spark, self.folder, pattern="*.parquet"))
-        self.query = S.run_to_table(stream, str(self.base / name), str(self.base / f"{name}-cp"))
+        with progress_of(self.spark, str(self.base / f"{name}-reports-{uuid.uuid4().hex}")) as reports:
+            query = S.run_to_table(stream, str(self.base / name), str(self.base / f"{name}-cp"))
+            reports.wait(str(query.runId))
+            self.late = late_rows(reports.read()).collect()
         return self.spark.read.schema(stream.schema).parquet(str(self.base / name))
 
 
@@ -47,7 +52,7 @@ def test_late_rows_within_the_delay_count_and_beyond_it_are_dropped_and_reported
     feed.add([event(3, 80), event(4, 10), event(5, 20)])
     out = feed.run(lambda ev: S.dedup_stream(ev, "30 minutes"))
     assert {r["event_id"] for r in out.collect()} == {1, 2, 3}
-    late = S.late_rows(feed.query)
+    late = feed.late
     assert sum(r["n_dropped"] for r in late) == 2
     assert sum(r["n_input"] for r in late) == 3
 
@@ -76,8 +81,9 @@ def test_tags_keep_unknown_events(feed, spark):
 
 def test_upsert_adds_batches_and_replay_changes_nothing(feed, spark, tmp_path):
     path, cp = str(tmp_path / "edges"), str(tmp_path / "cp")
-    run = lambda c: S.upsert_edges(stream_events(spark, feed.folder, pattern="*.parquet"), path, c).awaitTermination()
-    edges = lambda: {(r["src"], r["dst"]): r["n"] for r in S.read_edges(spark, path).collect()}
+    run = lambda c: E.upsert_edges(stream_events(spark, feed.folder, pattern="*.parquet"), path, c).awaitTermination()
+    edges = lambda: {(r["src"], r["dst"]): r["n"] for r in E.read_edges(spark, path).collect()}
+    assert edges() == {}
     feed.add([event(1, 1), event(2, 2)])
     run(cp)
     feed.add([event(3, 3), event(4, 4, k=2)])
@@ -90,8 +96,53 @@ def test_upsert_adds_batches_and_replay_changes_nothing(feed, spark, tmp_path):
         crc.unlink()
     run(cp)
     assert edges() == want
-    S.compact_edges(spark, path, str(tmp_path / "compact"))
-    assert {(r["src"], r["dst"]): r["n"] for r in S.read_edges(spark, str(tmp_path / "compact")).collect()} == want
+
+
+def counted(spark, *rows):
+    return spark.createDataFrame(rows, E.EDGES).coalesce(1)
+
+
+def test_fifty_batches_leave_few_parts_and_every_crash_counts_once(spark, tmp_path):
+    table = E.EdgeTable(spark, str(tmp_path / "edges"), fold=10)
+    sums = lambda: {(r["src"], r["dst"]): r["n"] for r in table.read().collect()}
+    for n in range(50):
+        table.write(counted(spark, ("a", "b", 1), ("a", f"c{n % 3}", n)), n)
+        assert table.parts() <= 2 * 10 + 3
+    want = {("a", "b"): 50, **{("a", f"c{i}"): sum(range(i, 50, 3)) for i in range(3)}}
+    assert sums() == want and table.base().through == 49
+    # replays of batches that the base has
+    for n in (0, 41, 49):
+        table.write(counted(spark, ("a", "b", 1), ("a", f"c{n % 3}", n)), n)
+    assert sums() == want
+    # a crash after a base was written and before it was committed, then the batch again
+    table.write(counted(spark, ("x", "y", 5)), 50)
+    table.write_base(50)
+    assert sums() == {**want, ("x", "y"): 5} and table.base().through == 49
+    table.write(counted(spark, ("x", "y", 5)), 50)
+    table.commit(table.write_base(50))
+    assert sums() == {**want, ("x", "y"): 5} and table.base().through == 50
+    # a reader that planned on the base before still finds it
+    planned = table.read()
+    table.write(counted(spark, ("x", "y", 1)), 51)
+    table.commit(table.write_base(51))
+    assert planned.where("src = 'x'").first()["n"] == 5 and sums()[("x", "y")] == 6
+
+
+def test_progress_of_150_batches_is_all_there(spark, tmp_path):
+    """One event a batch, one second apart and every tenth an hour late: more batches than a query remembers."""
+    rows = [event(i, i / 60 - (60 if i % 10 == 9 else 0)) for i in range(150)]
+    folder = tmp_path / "one-by-one"
+    frame = spark.createDataFrame(rows, schemas.EVENTS)
+    frame.repartitionByRange(150, "event_id").write.option("maxRecordsPerFile", 1).parquet(str(folder))
+    stream = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder)).withColumn("ts", F.col("ts").cast("timestamp"))
+    with progress_of(spark, str(tmp_path / "reports")) as reports:
+        query = S.run_to_table(S.dedup_stream(stream, "1 minute"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        reports.wait(str(query.runId))
+        rows_of = late_rows(reports.read()).collect()
+    assert sum(r["n_input"] for r in rows_of) == 150 and sum(r["n_input"] > 0 for r in rows_of) == 150
+    kept = spark.read.parquet(str(tmp_path / "out")).count()
+    assert sum(r["n_dropped"] for r in rows_of) == 150 - kept > 0
+    assert len(query.recentProgress) < 150
 
 
 def test_stream_equals_batch_over_closed_windows(feed, spark):

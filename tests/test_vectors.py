@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodemap.operators import groups as E, vectors as V
+from lodemap.scratch import Scratch
+from lodemap.operators import cells, groups as E, vectors as V
 from lodemap.sources.readers import clean_vectors
 
 
@@ -67,28 +68,53 @@ def test_knn_fewer_vectors_than_k(spark):
     same(lists(V.knn_exact(frame(spark, np.eye(3)), 5)), brute(np.eye(3), 5))
 
 
-def test_knn_approx_is_exact_with_one_bucket_and_close_with_more(spark, random_vectors):
+def test_knn_approx_is_exact_with_all_cells_and_close_with_some(spark, random_vectors):
     vectors = frame(spark, random_vectors)
-    same(lists(V.knn_approx(vectors, 4, dim=8, tables=1, bits=0)), brute(random_vectors, 4))
-    row = V.recall(V.knn_approx(vectors, 4, dim=8, tables=12, bits=3), V.knn_exact(vectors, 4)).first()
+    same(lists(V.knn_approx(vectors, 4, probes=1000, leaf=16)), brute(random_vectors, 4))
+    row = V.recall(V.knn_approx(vectors, 4, probes=5, leaf=16), V.knn_exact(vectors, 4)).first()
     assert row["n_exact"] == 480
     assert row["recall"] > 0.8
 
 
-def test_candidates_do_not_depend_on_the_size_of_the_table(spark, random_vectors):
-    few, many = frame(spark, random_vectors[:60]), frame(spark, random_vectors)
-    args = {"dim": 8, "tables": 3, "bits": 3}
-    near = {(r["src"], r["dst"]) for r in V.knn_approx(few, 59, **args).collect()}
-    more = {(r["src"], r["dst"]) for r in V.knn_approx(many, 119, **args).collect()}
-    assert near == {(a, b) for a, b in more if a < 60 and b < 60}
+def clustered(n):
+    """Vectors in `n` / 50 groups of 64 dimensions."""
+    rng = np.random.default_rng(3)
+    return rng.normal(size=(n // 50, 64)).repeat(50, 0) + 0.5 * rng.normal(size=(n, 64))
 
 
-def test_a_bucket_with_a_third_of_the_vectors_is_cut_into_blocks(spark, random_vectors):
+def test_products_per_vector_hardly_grow_with_the_table(spark):
+    cost, found = {}, {}
+    for n in (2000, 20_000):
+        vectors = frame(spark, clustered(n))
+        scratch = Scratch(spark, "test")
+        index = cells.Index(vectors.select("vec_id", "v"), scratch)
+        cost[n] = index.products(cells.PROBES) / n
+        lying = index.members.groupBy("leaf").count().agg({"count": "max"}).first()[0]
+        assert index.members.count() == n and lying < 20 * cells.LEAF
+    m = clustered(20_000)
+    near = V.knn_approx(frame(spark, m), 5).where("src < 400").toPandas()
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = u[:400] @ u.T
+    sim[np.arange(400), np.arange(400)] = -np.inf
+    best = np.argsort(-sim, axis=1)[:, :5]
+    found = sum(len(set(g["dst"]) & set(best[i])) for i, g in near.groupby("src"))
+    assert found >= 0.9 * 400 * 5
+    assert cost[20_000] <= 2 * cost[2000] and cost[20_000] < 20_000 / 4
+
+
+def test_cells_hold_a_crowd_of_near_copies_and_whole_copies(spark, random_vectors, monkeypatch):
     close = random_vectors.copy()
     close[:40] = close[0] + 1e-3 * random_vectors[:40]
-    one = V.knn_approx(frame(spark, close), 4, dim=8, tables=6, bits=3).orderBy("src", "rank").collect()
-    cut = V.knn_approx(frame(spark, close), 4, dim=8, tables=6, bits=3, block_rows=7).orderBy("src", "rank").collect()
-    assert one == cut and {r["src"] for r in one} >= set(range(40))
+    close[110:] = close[5]
+    one = V.knn_approx(frame(spark, close), 4, leaf=8).orderBy("src", "rank").collect()
+    monkeypatch.setattr(cells, "BLOCK", 7)
+    cut = V.knn_approx(frame(spark, close), 4, leaf=8).orderBy("src", "rank").collect()
+    assert one == cut and {r["src"] for r in one} == set(range(len(close)))
+
+
+def test_approx_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "vec_id long, v array<double>, label int")
+    assert V.knn_approx(none, 3).count() == 0 and V.similar_pairs_approx(none, 0.5).count() == 0
 
 
 def test_similar_pairs_link_copies_as_a_star(spark):
@@ -108,8 +134,8 @@ def test_similar_pairs_equal_brute_force_over_blocks(spark, random_vectors):
 def test_similar_pairs_approx_has_no_wrong_pair(spark, random_vectors):
     vectors = frame(spark, random_vectors)
     exact = {(r["src"], r["dst"], r["sim"]) for r in V.similar_pairs(vectors, 0.4).collect()}
-    one = {(r["src"], r["dst"], r["sim"]) for r in V.similar_pairs_approx(vectors, 0.4, dim=8, tables=1, bits=0).collect()}
-    some = {(r["src"], r["dst"], r["sim"]) for r in V.similar_pairs_approx(vectors, 0.4, dim=8, tables=6, bits=3).collect()}
+    one = {(r["src"], r["dst"], r["sim"]) for r in V.similar_pairs_approx(vectors, 0.4, probes=1000, leaf=16).collect()}
+    some = {(r["src"], r["dst"], r["sim"]) for r in V.similar_pairs_approx(vectors, 0.4, probes=5, leaf=16).collect()}
     assert one == exact
     assert some <= exact and len(some) > 0.8 * len(exact)
 
