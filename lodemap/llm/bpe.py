@@ -180,7 +180,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", blo
 
     `docs` must be dealt to tasks alike whenever it is read, as a scan of files is; where it
     isn't, this fails and says so. Repeated rows get a row each; other columns are not read.
+    A block has about `block_bytes` of text: smaller ones need less memory and move more words.
     """
+    block_bytes = block_bytes or BLOCK_BYTES
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     held = spark.sparkContext.broadcast(ranks)
