@@ -26,7 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lodemap.llm.common import slices
+from lodemap.llm.common import slices, tidy
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
@@ -231,9 +231,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", blo
         return pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))})
 
     slim = docs.select(key, "text")
-    words = slim.mapInArrow(list_words, "block long, number int, word binary")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_runs, "block long, numbers binary, sizes binary, ids binary")
-    places = slim.mapInArrow(list_places, f"block long, keys array<{kind}>, counts array<long>, places binary")
+    words = slim.mapInArrow(tidy(list_words), "block long, number int, word binary")
+    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(encode_runs), "block long, numbers binary, sizes binary, ids binary")
+    places = slim.mapInArrow(tidy(list_places), f"block long, keys array<{kind}>, counts array<long>, places binary")
     return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(place, f"`{key}` {kind}, ids array<int>")
 
 
@@ -269,7 +269,7 @@ def decode(encoded: DataFrame, ranks: bytes, key: str = "doc_id") -> DataFrame:
                 out = [text[a:b].tobytes() if ok else None for a, b, ok in zip(ends[:-1], ends[1:], pc.is_valid(lists).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(key), lists, pa.array(out, pa.binary())], [key, "ids", "bytes"])
 
-    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids array<int>, bytes binary")
+    return encoded.select(key, "ids").mapInArrow(tidy(run), f"`{key}` {kind}, ids array<int>, bytes binary")
 
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str, *more: str, key: str = "doc_id", block_bytes: int | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,30 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 3 << 20
 
 
+#: The C library's own way to return freed memory, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker serves stage after stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(run: Task) -> Task:
+    """`run`, followed by a release of what its batches took."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def texts_of(batch: pa.RecordBatch) -> pa.Array:
     """The column `text`, or that field of a first column that holds whole rows."""
     return batch.column("text") if "text" in batch.schema.names else batch.column(0).field("text")
@@ -35,7 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()  # a worker serves stage after stage
+        release()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lodemap.llm.common import bucket_of, find, seeded_sample, slices, texts_of
+from lodemap.llm.common import bucket_of, find, seeded_sample, slices, texts_of, tidy
 
 ORDER = 3
 #: Labelled texts of each language that the trees are fitted on, about.
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, fit_texts: int = FIT_TEXTS) -> Trees:
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sample = seeded_sample(rows, "lang", "doc_id", fit_texts, "langid").select("lang", "text")
-    counts = sample.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(tidy(_count_batches), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     by = {lang: (g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy()) for lang, g in counts.groupby("lang")}
     return Trees(sorted(by), by)
 
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, trees: Trees, key: str = "doc_id") -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     columns = [key, "text"] if "text" in docs.columns else [key]
-    return docs.select(columns).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return docs.select(columns).mapInArrow(tidy(run), f"`{key}` {kind}, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, trees: Trees) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lodemap.llm.common import bucket_of, find, hash_words, mix, seeded_sample, slices, texts_of, words_of
+from lodemap.llm.common import bucket_of, find, hash_words, mix, seeded_sample, slices, texts_of, tidy, words_of
 from lodemap.scratch import Scratch
 
 #: Labelled documents of each class that are used, about: FIT_SHARE for the models, the rest for the curve.
@@ -135,7 +135,7 @@ def _shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], ["at", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select("text").mapInArrow(tidy(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(words) + 1, np.int64)
     out[counts["at"]] = counts["n"]
     return out[:-1], int(out.sum())
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS)
     scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = scratch.table(chosen, "chosen")  # bounded by the sample: texts need not be shuffled to meet it
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(chosen, "doc_id").persist()
-    counted = texts.where("fit").select("toxic", "text").mapInArrow(_count_ngrams, "toxic int, before long, word long, pair long, n long")
+    counted = texts.where("fit").select("toxic", "text").mapInArrow(tidy(_count_ngrams), "toxic int, before long, word long, pair long, n long")
     pairs = counted.groupBy("pair", "before", "word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
     pairs = scratch.table(pairs, "pairs")
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS)
             x = Model(*held.value).features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*map(pa.array, x.T.copy()), batch.column("toxic")], ["mean", "root", "worst", "toxic"])
 
-    unseen_docs = texts.where("NOT fit").select("text", "toxic").mapInArrow(measure, "mean double, root double, worst double, toxic int").toPandas()
+    unseen_docs = texts.where("NOT fit").select("text", "toxic").mapInArrow(tidy(measure), "mean double, root double, worst double, toxic int").toPandas()
     texts.unpersist()
     if unseen_docs["toxic"].nunique() < 2:
         return model._replace(curve=np.array([1.0, 1.0, 1.0, -1.0]))
@@ -234,7 +234,7 @@ def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [key, "score", "predicted"])
 
     columns = [key, "text"] if "text" in docs.columns else [key]
-    return docs.select(columns).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
+    return docs.select(columns).mapInArrow(tidy(run), f"`{key}` {kind}, score double, predicted int")
 
 
 def split_fit(docs: DataFrame, labels: DataFrame, buckets: int = 3, held: int = 1) -> Model | None:
