@@ -11,8 +11,8 @@ Equal sets are one node of the graph. A list of up to SHORT sets gives its pairs
 and position filters. A longer list first gives a star around one set, since its sets are mostly
 near copies of each other. Where that leaves a long list in more than one component, rounds of stars
 around several members tie those outside its largest component to it, and what is left outside is
-compared with the whole list in blocks, by parity bitmaps, which bound the overlap from above.
-Pairs of different components that pass are verified. So no group is expanded into all pairs and
+compared with the whole list in blocks, by narrow parity bitmaps, which bound the overlap from above.
+Pairs of different components that pass are compared by wide bitmaps, and what passes is verified. So no group is expanded into all pairs and
 no link between components is lost.
 """
 
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodemap.llm.common import find, hash_words, mix, slices, words_of
+from lodemap.llm.common import find, hash_words, mix, slices, tidy, words_of
 from lodemap.operators.graph import components
 from lodemap.operators.linking import across, star_rounds
 from lodemap.scratch import Scratch
@@ -36,8 +36,10 @@ from lodemap.scratch import Scratch
 WORDS, LEAST = 4, 85
 #: Words whose counts order the shingles; all others count as rarest.
 COMMON = 1 << 16
-#: Sets of a list that gives all its pairs; places of a bitmap at least.
-SHORT, BITS = 32, 2048
+#: Sets of a list that gives all its pairs.
+SHORT = 32
+#: Places of narrow and of wide bitmaps: at least, and for each key in which linked sets may differ.
+NARROW, WIDE = (128, 4), (2048, 16)
 CLASS_BITS = 6
 #: Bits for each id of a test, the most of them, and bits of a page of Spark's bitmaps.
 FILTER_SHARE, FILTER_BITS, PAGE = 16, 1 << 25, 1 << 15
@@ -137,7 +139,7 @@ def survey(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[Shi
     The driver gets COMMON words and a row for each length of text, which is short of a text's words.
     """
     counts = Scratch(docs.sparkSession, "survey").table(
-        docs.select("text").mapInArrow(_survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+        docs.select("text").mapInArrow(tidy(_survey), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     top = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
     whole, kinds = counts.where("kind = 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     rest = ((whole or 0) - int(top["n"].sum())) / max(1, kinds - len(top))
@@ -154,9 +156,14 @@ def _identity(keys: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(keys.tobytes())).view(np.int64))
 
 
-def _bitmap(keys: np.ndarray) -> bytes:
-    """Parity of the number of keys at each place; a power of two of places, about two to four for a key."""
-    places = max(BITS, 1 << (2 * len(keys)).bit_length())
+def _bitmap(keys: np.ndarray, least: int, width: tuple[int, int]) -> bytes:
+    """Parity of the number of keys at each place; a power of two of places.
+
+    Bitmaps of unrelated sets differ in about half of their places. In narrow ones that is at least twice
+    what linked sets may differ in, which tells them apart; wide ones tell related sets from linked ones.
+    """
+    n = len(keys)
+    places = max(width[0], 1 << (width[1] * 2 * (n - overlap(n, n, least)) - 1).bit_length())
     return np.packbits(np.bincount((keys % np.uint64(places)).astype(np.int64), minlength=places) & 1).tobytes()
 
 
@@ -302,22 +309,23 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
     def sizes_and_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(*held.value), set()
         for batch in slices(batches):
-            n, nodes, lists, bits = [], [], [], []
+            n, nodes, lists, bits, wide = [], [], [], [], []
             for named, keys in zip(pc.is_valid(batch.column(key)).to_pylist(), shingler.sets(batch.column("text"))):
                 n.append(len(keys))
                 nodes.append(_identity(keys) if named and len(keys) else None)
                 new = nodes[-1] is not None and nodes[-1] not in seen  # copies in a task are listed once
                 seen.add(nodes[-1])
-                bits.append(_bitmap(keys) if new else None)
+                bits.append(_bitmap(keys, least, NARROW) if new else None)
+                wide.append(_bitmap(keys, least, WIDE) if new else None)
                 lists.append(_keys(keys, light, least) if new else _keys(keys[:0], light, least))
             where = [len(k) for k, _, _ in lists]
             ends = pa.array(np.concatenate([[0], np.cumsum(where)]).astype(np.int32))
             columns = [_signed(np.concatenate([k for k, _, _ in lists])), pa.array(np.concatenate([a for _, a, _ in lists])), pa.array(np.concatenate([s for _, _, s in lists]))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), *(pa.ListArray.from_arrays(ends, c) for c in columns)],
-                [key, "n", "node", "bits", "keys", "at", "single"])
+                [batch.column(key), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), *(pa.ListArray.from_arrays(ends, c) for c in columns)],
+                [key, "n", "node", "bits", "wide", "keys", "at", "single"])
 
-    marked = docs.select(key, "text").mapInArrow(sizes_and_keys, f"`{key}` {kind}, n int, node long, bits binary, keys array<long>, at array<int>, single array<boolean>")
+    marked = docs.select(key, "text").mapInArrow(tidy(sizes_and_keys), f"`{key}` {kind}, n int, node long, bits binary, wide binary, keys array<long>, at array<int>, single array<boolean>")
     marked = scratch.table(marked, "marks")
     entries = marked.where("n > 0 AND size(keys) > 0").select("node", "n", F.explode(F.arrays_zip("keys", "at", "single")).alias("e"))
     entries = entries.select(F.col("e.keys").alias("key"), "node", "n", F.col("e.at").alias("at"), F.col("e.single").alias("single"))
@@ -348,7 +356,7 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
                     [pa.array(node[rows]), pa.nulls(len(rows), pa.int64()), pa.array(name[rows]), pa.array(n[rows]), pa.array(at[rows]), pa.array(single[rows])],
                     ["src", "dst", "key", "n", "at", "single"])
 
-    found = scratch.table(lists.mapInArrow(list_pairs, "src long, dst long, key long, n int, at int, single boolean"), "found")
+    found = scratch.table(lists.mapInArrow(tidy(list_pairs), "src long, dst long, key long, n int, at int, single boolean"), "found")
     pairs = scratch.table(found.where("dst IS NOT NULL").select("src", "dst").distinct(), "pairs")
     long = scratch.table(found.where("dst IS NULL").select("key", F.col("src").alias("node"), "n", "at", "single"), "long")
     # only nodes of a pair or a long list are compared: their ids go to the marks, not all bitmaps to the ids
@@ -356,13 +364,20 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
     maps = marked.where("bits IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n"))
     maps = scratch.table(maps, "bitmaps")
 
-    def likely(pairs: DataFrame, name: str) -> DataFrame:
+    def allowed(pairs: DataFrame, maps: DataFrame, name: str) -> DataFrame:
         """The pairs whose bitmaps allow the overlap."""
         both = pairs.join(maps.select(F.col("node").alias("dst"), F.col("bits").alias("b"), F.col("n").alias("m")), "dst").join(
             maps.select(F.col("node").alias("src"), F.col("bits").alias("a"), "n"), "src")
-        return scratch.table(both.mapInArrow(_may_link(least), "src long, dst long"), name)
+        return scratch.table(both.mapInArrow(tidy(_may_link(least)), "src long, dst long"), name)
+
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs, allowed by narrow bitmaps, that wide ones allow too; only their nodes' wide ones are shuffled."""
+        ends = scratch.table(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), f"{name}-ends")
+        wide = marked.where(F.col("wide").isNotNull() & _perhaps_among(ends, "node")).join(ends, "node", "left_semi")
+        wide = scratch.table(wide.groupBy("node").agg(F.first("wide").alias("bits"), F.first("n").alias("n")), f"{name}-wide")
+        return allowed(pairs, wide, name)
 
-    pairs = likely(pairs, "likely")
+    pairs = likely(allowed(pairs, maps, "allowed"), "likely")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(*held.value), set()
@@ -380,7 +395,7 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
         holders = marked.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias(key)).join(ends, "node", "left_semi").select(key)
         holders = scratch.table(holders, f"{name}-holders")
         chosen = docs.where(_perhaps_among(holders, key)).select(key, "text").join(holders, key, "left_semi").select("text")
-        sets = scratch.table(chosen.mapInArrow(contents, "node long, keys array<long>"), f"{name}-sets")
+        sets = scratch.table(chosen.mapInArrow(tidy(contents), "node long, keys array<long>"), f"{name}-sets")
         both = pairs.join(sets.select(F.col("node").alias("dst"), F.col("keys").alias("b")), "dst").join(
             sets.select(F.col("node").alias("src"), F.col("keys").alias("a")), "src")
         common = F.size(F.array_intersect("a", "b"))
@@ -391,7 +406,7 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
     edges = links(pairs, "links")
     if not long.isEmpty():
         def linked(pairs: DataFrame, name: str) -> DataFrame:
-            return links(likely(pairs, f"{name}-likely"), name)
+            return links(likely(allowed(pairs, maps, f"{name}-allowed"), f"{name}-likely"), name)
 
         def may_link(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             (n, at, single), (m, to, _) = ([t.column(c).to_numpy() for c in ("n", "at", "single")] for t in (a, b))
@@ -407,7 +422,7 @@ def join(docs: DataFrame, words: int = WORDS, least: int = LEAST, key: str = "do
         if left is not None:
             left = scratch.table(left, "left").join(long, ["key", "node"]).join(maps.select("node", "bits"), "node")
             rest = across(left, ["n", "at", "single", "bits"], may_link, "long")
-            edges = edges.unionByName(links(scratch.table(rest, "rest"), "links2"))
+            edges = edges.unionByName(links(likely(scratch.table(rest, "rest"), "rest-likely"), "links2"))
     comps = components(nodes, edges)
     # every node of the graph by its smallest document
     least_key = marked.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("low"))
