@@ -1,14 +1,15 @@
 """Toxicity from two class-conditional Kneser-Ney models.
 
-A bigram model of toxic text and one of ordinary text are fitted on labelled documents. Both
-back off from bigrams to continuation counts of their class and from there to one shared
-distribution, the word counts of all documents, so that a rare expression is as likely under
-both unless its class has really used it. A text is judged by the difference of the two
-log-likelihoods, word by word as far as the toxic one clearly leads, normalised by length: the
-mean of the whole text, its sum over the root of the length (whose noise is as wide at any
-length), and the mean of its worst window of `WINDOW` words, so that a short insult in a long
-text is not averaged away. A logistic curve fitted on
-labelled documents that the models have not seen turns these into a score.
+A bigram model of toxic text and one of ordinary text are fitted on labelled documents, each by
+interpolated Kneser-Ney smoothing: a discounted bigram, and what the discount took off goes to the
+continuation counts of the word in that class; what is taken off there goes to one distribution
+that both share, the word counts of all documents. So every context of either class sums to 1.
+An n-gram on which the classes do not clearly differ is discounted whole: its count goes down to
+what they share, so a rare expression is as likely under both. A text is judged by the difference of its two log-likelihoods, normalised by length: the mean over the
+whole text, its sum over the root of the length (whose noise is as wide at any length), and the
+mean of its most toxic stretch of `WINDOW` words, so that a short insult in a long text is not
+averaged away. A logistic curve fitted on labelled documents that the models have not seen turns
+these into a score.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from lodemap.llm.common import bucket_of, find, hash_words, mix, seeded_sample, slices, texts_of, tidy, words_of
 from lodemap.scratch import Scratch
@@ -27,49 +29,50 @@ from lodemap.scratch import Scratch
 #: Labelled documents of each class that are used, about: FIT_SHARE for the models, the rest for the curve.
 FIT_DOCUMENTS = 6000
 FIT_SHARE = 0.75
-#: Absolute discount of both levels. An n-gram must be used more often than this in a class to
-#: count for it; what is taken off goes to the backoff counts that the classes share.
+#: Absolute discount of both levels: what is taken off at most from a count. An n-gram must be
+#: used more often than this in a class to count for it by itself.
 DISCOUNT = 2
+#: Standard errors by which the classes must differ on an n-gram that counts by itself.
+TELLING = 4.0
 #: Part of every probability that both classes share, which bounds what one word can say.
 SHARED = 0.1
-#: A word adds to the toxic side of a text by what its ratio exceeds MARGIN.
-MARGIN = 0.5
 WINDOW = 12
 THRESHOLD = 0.7
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
 class Model(NamedTuple):
-    """Sorted hashes and log-free probabilities; columns are toxic, ordinary."""
+    """Sorted hashes and what they stand for; columns are toxic, ordinary."""
 
     words: np.ndarray
-    low: np.ndarray      # of a known word, below bigrams
+    low: np.ndarray      # probability of a known word, below bigrams
     contexts: np.ndarray
-    back: np.ndarray     # backoff weight of a known context, the same for both
+    back: np.ndarray     # backoff weight of a known context (1 where the class never saw it)
     pairs: np.ndarray
     high: np.ndarray     # what a known bigram adds
-    unseen: float        # of an unknown word, below bigrams, the same for both
+    unseen: np.ndarray   # probability of any other word, below bigrams, up to a factor of both
     curve: np.ndarray    # weights of the features, then the intercept
 
-    def ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Text of each word, and the difference of its log-probabilities, toxic less ordinary."""
-        row, before, word, pair = _ngrams(texts)
+    def likelihoods(self, before: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Probability of each word after the one before it."""
         at, known = find(self.words, word)
-        low = np.full((len(word), 2), self.unseen)
+        low = np.tile(self.unseen, (len(word), 1))
         low[known] = self.low[at[known]]
         at, known = find(self.contexts, before)
-        back = np.ones(len(word))
-        back[known] = self.back[at[known]]
+        low[known] *= self.back[at[known]]
         at, known = find(self.pairs, pair)
-        p = low * back[:, None]
-        p[known] += self.high[at[known]]
-        p = (1 - SHARED) * p + SHARED * p.mean(1, keepdims=True)
-        return row, np.log(p[:, 0]) - np.log(p[:, 1])
+        low[known] += self.high[at[known]]
+        return (1 - SHARED) * low + SHARED * low.mean(1, keepdims=True)
+
+    def ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Text of each word, and the difference of its log-probabilities, toxic less ordinary."""
+        row, *ngrams = _ngrams(texts)
+        p = np.log(self.likelihoods(*ngrams))
+        return row, p[:, 0] - p[:, 1]
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Mean, sum over the root of the length, worst window; zeros for a text without words."""
+        """Mean, sum over the root of the length, most toxic stretch; zeros for a text without words."""
         row, ratio = self.ratios(texts)
-        ratio = np.maximum(ratio - MARGIN, 0)
         n = np.bincount(row, minlength=len(texts))
         total = np.concatenate([[0.0], np.cumsum(ratio)])
         ends = np.cumsum(n)
@@ -108,41 +111,34 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, before, gram, pair, n): words have no `before`; a pair carries both its parts."""
+    """(toxic, before, word, pair, n, first): texts with the pair, and those whose first use of the word it is."""
     for batch in slices(batches):
         for toxic in (0, 1):
             texts = batch.column("text").filter(pc.equal(batch.column("toxic"), toxic))
-            _, before, word, pair = _ngrams(texts)
-            keys, at, n = np.unique(pair, return_index=True, return_counts=True)
+            row, before, word, pair = _ngrams(texts)
+            keys, at, of, n = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+            first = np.zeros(len(row))
+            first[np.unique(mix(row.astype(np.uint64), word), return_index=True)[1]] = 1
+            first = np.bincount(of, first, len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), toxic, np.int32)), _signed(before[at]), _signed(word[at]), _signed(keys), pa.array(n)],
-                ["toxic", "before", "word", "pair", "n"])
-
+                [pa.array(np.full(len(keys), toxic, np.int32)), _signed(before[at]), _signed(word[at]), _signed(keys), pa.array(n), pa.array(first)],
+                ["toxic", "before", "word", "pair", "n", "first"])
 
-def _shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
-    """How often each of the sorted `words` occurs in all documents, and the number of all words."""
-    spread = docs.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = spread.value
-        seen = np.zeros(len(words) + 1, np.int64)
-        for batch in slices(batches):
-            row, found = words_of(batch.column("text"))
-            coded = found.dictionary_encode()
-            at, known = find(words, hash_words([w.lower().strip(EDGES) or w for w in coded.dictionary.to_pylist()]))
-            n = np.bincount(coded.indices.to_numpy(), minlength=len(at))
-            np.add.at(seen, np.where(known, at, len(words)), n)
-        there = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], ["at", "n"])
 
-    counts = docs.select("text").mapInArrow(tidy(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(words) + 1, np.int64)
-    out[counts["at"]] = counts["n"]
-    return out[:-1], int(out.sum())
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of every slice of texts."""
+    for batch in slices(batches):
+        _, found = words_of(batch.column("text"))
+        coded = found.dictionary_encode()
+        word = hash_words([w.lower().strip(EDGES) or w for w in coded.dictionary.to_pylist()])
+        n = np.bincount(coded.indices.to_numpy(), minlength=len(word))
+        yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n)], ["word", "n"])
 
 
 def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps; both classes weigh by their share."""
+    """Logistic regression by Newton steps; both classes weigh by their share. A text without any
+    evidence, all features 0, is added to the ordinary ones, so that it is not judged by chance."""
+    x, y = np.vstack([x, np.zeros(x.shape[1])]), np.append(y, 0.0)
     a, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -153,6 +149,22 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50)
     return w
 
 
+def _telling(toxic: str, ordinary: str, whole: Row) -> Column:
+    """Whether an n-gram counts by itself: in more than DISCOUNT texts of a class, and its two counts
+    differ by more than TELLING standard errors from what the classes' sizes `whole` let expect."""
+    sizes = whole[toxic] or 0, whole[ordinary] or 0
+    share = sizes[0] / max(sum(sizes), 1)
+    expected = (F.col(toxic) + F.col(ordinary)) * share
+    return (F.greatest(toxic, ordinary) > DISCOUNT) & (F.abs(F.col(toxic) - expected) > TELLING * F.sqrt(expected * (1 - share)))
+
+
+def _sorted(rows: pd.DataFrame, by: str) -> tuple[np.ndarray, pd.DataFrame]:
+    """Hashes in ascending order, and the rows in that order."""
+    keys = rows[by].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows.iloc[order]
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model | None:
     """A model from the documents that `labels` (doc_id, toxic) marks; None if either class is empty.
 
@@ -166,43 +178,42 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS)
     scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = scratch.table(chosen, "chosen")  # bounded by the sample: texts need not be shuffled to meet it
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(chosen, "doc_id").persist()
-    counted = texts.where("fit").select("toxic", "text").mapInArrow(tidy(_count_ngrams), "toxic int, before long, word long, pair long, n long")
+    counted = texts.where("fit").select("toxic", "text").mapInArrow(tidy(_count_ngrams), "toxic int, before long, word long, pair long, n long, first long")
     pairs = counted.groupBy("pair", "before", "word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
+        *[F.sum(F.when(F.col("toxic") == is_, F.col(n)).otherwise(0)).alias(c) for is_, c, n in ((1, "t", "n"), (0, "o", "n"), (1, "dt", "first"), (0, "do", "first"))])
     pairs = scratch.table(pairs, "pairs")
-    used = F.greatest("t", "o") > DISCOUNT
-    kinds = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("t", "o")]
-    each = pairs.groupBy("word").agg(*kinds)
-    types = each.agg(*[F.sum(c).alias(c) for c in "to"], *[F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"off_{c}") for c in "to"]).first()
+    sums = pairs.agg(*[F.sum(c).alias(c) for c in ("t", "o", "dt", "do")]).first()
+    pairs = pairs.withColumn("used", _telling("t", "o", sums))
+    # a word has as many kinds of contexts as one long text gives it, so texts tell whether it counts
+    each = pairs.groupBy("word").agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in "to"], *[F.sum(c).alias(c) for c in ("dt", "do")], F.max("used").alias("ends"))
+    types = each.agg(*[F.sum(c).alias(c) for c in "to"]).first()
     if not types["t"] or not types["o"]:
         texts.unpersist()
         return None
-    known = each.where(used).toPandas()
-    high = pairs.where(used).select("pair", "before", "t", "o").toPandas()
-    context = pairs.where("before <> 0").groupBy("before").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count(F.lit(1)).alias("kinds"),
-                                                             F.max(used).alias("used")).where("used").toPandas()
-
-    words = known["word"].to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    words, known = words[order], known.iloc[order]
-    seen, whole = _shared_counts(docs, words)
-    shared = (seen + 1) / (whole + len(words) + 1)
-    # the mass taken off, of both classes together: a rare word is as likely under both
-    rest = np.mean([types[f"off_{c}"] / types[c] for c in "to"])
-    low = np.maximum(known[["t", "o"]].to_numpy(float) - DISCOUNT, 0) / [types["t"], types["o"]] + rest * shared[:, None]
-    unseen = rest / (whole + len(words) + 1)
-
-    contexts = context["before"].to_numpy().view(np.uint64)
-    order = np.argsort(contexts)
-    contexts, context = contexts[order], context.iloc[order]
+    off = [F.sum(F.when(F.col("used"), F.least(F.col(c), F.lit(DISCOUNT))).otherwise(F.col(c))).alias(f"off_{c}") for c in "to"]
+    each = each.withColumn("used", _telling("dt", "do", sums))
+    taken = each.agg(*off).first()
+    corpus = docs.select("text").mapInArrow(tidy(_count_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    corpus = scratch.table(corpus, "corpus")
+    size = corpus.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
+    # bounded by the sample, as the pairs and contexts are
+    known = scratch.table(each.where("used OR ends").select("word", *"to", "used"), "known").join(corpus, "word").toPandas()
+    high = pairs.where("used").select("pair", "before", "t", "o").toPandas()
+    context = pairs.groupBy("before").agg(*[F.sum(c).alias(c) for c in "to"], *off, F.max("used").alias("used")).where("used").toPandas()
+
+    words, known = _sorted(known, "word")
+    whole = size["n"] + size["kinds"] + 1  # the last one is for words that no document has
+    kinds = np.array([types["t"], types["o"]], float)
+    rest = np.array([taken["off_t"], taken["off_o"]], float) / kinds
+    own = np.maximum(known[["t", "o"]].to_numpy(float) - DISCOUNT, 0) * known[["used"]].to_numpy(bool)
+    low = own / kinds + rest * (known[["n"]].to_numpy(float) + 1) / whole
+    contexts, context = _sorted(context, "before")
     total = context[["t", "o"]].to_numpy(float)
-    back = np.minimum(1, DISCOUNT * context["kinds"].to_numpy(float) / np.maximum(total.sum(1), 1))
-    at, has = find(contexts, high["before"].to_numpy().view(np.uint64))
-    high = high[has]
-    adds = np.maximum(high[["t", "o"]].to_numpy(float) - DISCOUNT, 0) / (total[at[has]] + DISCOUNT)
-    keys = high["pair"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    model = Model(words, low, contexts, back, keys[order], adds[order], unseen, np.zeros(4))
+    back = np.where(total > 0, context[["off_t", "off_o"]].to_numpy(float) / np.maximum(total, 1), 1.0)
+    keys, high = _sorted(high, "pair")
+    at, _ = find(contexts, high["before"].to_numpy().view(np.uint64))
+    adds = np.maximum(high[["t", "o"]].to_numpy(float) - DISCOUNT, 0) / np.maximum(total[at], 1)
+    model = Model(words, low, contexts, back, keys, adds, rest / whole, np.zeros(4))
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

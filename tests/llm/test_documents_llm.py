@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -308,6 +309,71 @@ def test_op6_odd_texts_and_missing_classes(spark, documents, odd_texts):
     assert X.toxicity(documents([]), model).count() == 0
 
 
+def brute_kneser_ney(marked, texts):
+    """(class, before, word) -> probability, by the definition, for every context and every word of `texts`."""
+    classes = {1: [t.split() for t, y in marked if y], 0: [t.split() for t, y in marked if not y]}
+    pairs = {c: Counter(p for t in ts for p in {*zip([None, *t], t)}) for c, ts in classes.items()}
+    inside = {c: Counter(w for t in ts for w in set(t)) for c, ts in classes.items()}
+    kinds = {c: Counter(w for _, w in pairs[c]) for c in classes}
+
+    def telling(counts):
+        size = {c: sum(counts[c].values()) for c in counts}
+        share, out = size[1] / (size[0] + size[1]), set()
+        for x in {*counts[0], *counts[1]}:
+            t, o = counts[1][x], counts[0][x]
+            expected = (t + o) * share
+            if max(t, o) > X.DISCOUNT and abs(t - expected) > X.TELLING * (expected * (1 - share)) ** 0.5:
+                out.add(x)
+        return out
+
+    words, told = telling(inside), telling(pairs)
+    every = Counter(w for t in texts for w in t.split())
+    whole = sum(every.values()) + len(every) + 1
+    shared = {w: (n + 1) / whole for w, n in every.items()} | {"never": 1 / whole}
+
+    def level(counts, keep, below):
+        size = sum(counts.values())
+        own = {x: max(n - X.DISCOUNT, 0) / size for x, n in counts.items() if x in keep}
+        rest = 1 - sum(own.values())
+        return {w: own.get(w, 0) + rest * p for w, p in below.items()}
+
+    out = {}
+    for c in classes:
+        low = level(kinds[c], words, shared)
+        for v in [None, *every, "never"]:
+            here = Counter({w: n for (b, w), n in pairs[c].items() if b == v})
+            at = level(here, {w for b, w in told if b == v}, low) if here else low
+            out |= {(c, v, w): p for w, p in at.items()}
+    return out
+
+
+def test_op6_is_kneser_ney_in_every_context(spark, documents, monkeypatch):
+    monkeypatch.setattr(X, "FIT_SHARE", 1.0)  # no documents for the curve: all of them for the models
+    rng = random.Random(6)
+    common = [f"w{i}" for i in range(30)]
+    text = lambda bad: " ".join(["you vile idiot" if bad and rng.random() < 0.2 else "a kind word" if rng.random() < 0.1 else rng.choice(common) for _ in range(rng.randint(1, 25))])
+    marked = [(text(i % 3 == 0), int(i % 3 == 0)) for i in range(200)]
+    texts = [t for t, _ in marked] + ["w1 idiot other", "vile vile vile", "w1"] * 5
+    docs = documents([(i, t, None, None) for i, t in enumerate(texts)])
+    model = X.fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(marked)], "doc_id long, toxic int"))
+    want = brute_kneser_ney(marked, texts)
+    names = sorted({w for _, _, w in want})
+    assert len(model.words) and len(model.contexts) and len(model.pairs)
+    code = dict(zip([None, *names], np.concatenate([np.zeros(1, np.uint64), X.hash_words(names)])))
+    for v in [None, *names]:
+        for c in (0, 1):
+            assert sum(want[c, v, w] for w in names) == pytest.approx(1)
+        before, word = np.full(len(names), code[v]), np.array([code[w] for w in names])
+        got = model.likelihoods(before, word, X.mix(before, word))
+        plain = np.array([[want[1, v, w], want[0, v, w]] for w in names])
+        expect = (1 - X.SHARED) * plain + X.SHARED * plain.mean(1, keepdims=True)
+        # a word that no pair or class tells of has no entry: both its probabilities lack one factor, its count
+        assert np.allclose(got[:, 0] / got[:, 1], expect[:, 0] / expect[:, 1])
+        stored = X.find(model.words, word)[1]
+        assert np.allclose(got[stored], expect[stored])
+        assert got[stored].sum(0) + expect[~stored].sum(0) == pytest.approx(1)
+
+
 # --- licences -------------------------------------------------------------------------
 
 def test_op3_families(documents):
