@@ -37,6 +37,8 @@ FILE_IDS = 4 << 20
 KNOWN, AT_ONCE, STEP_BYTES = 200_000, 4000, 4 << 20
 #: Shards for each shuffle partition: their keys' ranges follow each other.
 SHARDS = 4
+#: Documents of a file that a reader decodes at once.
+READ = 2000
 END = 1
 
 
@@ -60,17 +62,8 @@ class Sequence:
         unary[at] = 1
         return cls(n, least, l, np.packbits(bits.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"), at[::SAMPLE].astype(np.uint32))
 
-    def values(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(0, np.int64)
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits).astype(np.uint64)
-        low = (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return (high + low + np.uint64(self.least % (1 << 64))).view(np.int64)
-
-    def select(self, i: int) -> int:
-        """Value i: from the sample before it, bits are counted on; no other value is decoded."""
+    def _place(self, i: int) -> int:
+        """Bit of value i in the high parts: from the sample before it, bits are counted on."""
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         while left:
             at += 1
@@ -80,11 +73,26 @@ class Sequence:
                 at |= 7
             else:
                 left -= byte & 1
-        low = 0
-        for b in range(self.low_bits):
-            k = i * self.low_bits + b
-            low |= (int(self.low[k >> 3]) >> (k & 7) & 1) << b
-        return (at - i << self.low_bits) + low + self.least
+        return at
+
+    def select(self, i: int) -> int:
+        """Value i; no other value is decoded."""
+        return int(self.between(i, i + 1)[0])
+
+    def values(self) -> np.ndarray:
+        return self.between(0, self.n)
+
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1: two selections bound the bits that are decoded."""
+        if i >= j:
+            return np.zeros(0, np.int64)
+        first, last, l = self._place(i), self._place(j - 1), self.low_bits
+        unary = np.unpackbits(self.high[first >> 3 : (last >> 3) + 1], bitorder="little")[first & 7 :]
+        at = np.flatnonzero(unary)[: j - i] + first
+        high = (at - np.arange(i, j)).astype(np.uint64) << np.uint64(l)
+        bits = np.unpackbits(self.low[i * l >> 3 : (j * l + 7) >> 3], bitorder="little")[i * l & 7 :][: (j - i) * l].reshape(j - i, l).astype(np.uint64)
+        low = (bits << np.arange(l, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        return (high + low + np.uint64(self.least % (1 << 64))).view(np.int64)
 
     def tobytes(self) -> bytes:
         head = struct.pack("<qqqqq", self.n, self.least, self.low_bits, len(self.high), self.samples.nbytes)
@@ -107,14 +115,22 @@ def pack(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray, width: in
     return head + Sequence.of(offsets).tobytes() + Sequence.of(named).tobytes() + ids.astype(f"<u{width}").tobytes()
 
 
-def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Keys, offsets and ids of a file."""
+def unpack(data: bytes) -> tuple[int, Sequence, Sequence, np.ndarray]:
+    """Number of null keys, the other keys, offsets and ids of a file, the sequences as they are coded."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
     width, _, nulls, n = struct.unpack_from("<qqqq", data, 8)
     offsets, at = Sequence.read(data, 40)
     named, at = Sequence.read(data, at)
-    return [None] * nulls + named.values().tolist(), offsets.values(), np.frombuffer(data, f"<u{width}", n, at)
+    return nulls, named, offsets, np.frombuffer(data, f"<u{width}", n, at)
+
+
+def documents(data: bytes, i: int, j: int) -> tuple[list[int | None], np.ndarray, list[np.ndarray]]:
+    """Keys, offsets (one more) and ids of documents i to j - 1 of a file; only their bounds are decoded."""
+    nulls, named, offsets, ids = unpack(data)
+    cut = offsets.between(i, j + 1)
+    keys = [None] * max(0, min(j, nulls) - i) + named.between(max(i - nulls, 0), max(j - nulls, 0)).tolist()
+    return keys, cut, [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
 @lru_cache(2)
@@ -259,14 +275,13 @@ def read(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, offsets, ids = unpack(batch.column("content")[i].as_py())
-                start = batch.column("start")[i].as_py()
-                ids = ids.astype("<u4")
-                for s in range(0, len(keys), 2000):
-                    cut = offsets[s : s + 2001]
-                    parts = [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                data, start = batch.column("content")[i].as_py(), batch.column("start")[i].as_py()
+                whole = unpack(data)[2].n - 1
+                for s in range(0, whole, READ):
+                    keys, cut, ids = documents(data, s, min(s + READ, whole))
+                    parts = [x.astype("<u4").tobytes() for x in ids]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[s : s + 2000], pa.int64()), pa.array(cut[:-1] + start), pa.array(np.diff(cut)), pa.array(parts, pa.binary())], [key, "start", "n_tokens", "ids"])
+                        [pa.array(keys, pa.int64()), pa.array(cut[:-1] + start), pa.array(np.diff(cut)), pa.array(parts, pa.binary())], [key, "start", "n_tokens", "ids"])
 
     return named.select("content", "start").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids binary")
 
