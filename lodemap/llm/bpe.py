@@ -33,7 +33,8 @@ BLOCK_BYTES = 16 << 20
 #: Encoded words that a task gathers before it hands them on, packed by block.
 PACK_WORDS = 250_000
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
-#: Fixed values of the pattern: what may follow an apostrophe as one pre-token.
+#: The pattern whose matches `piece_starts` cuts, and what in it may follow an apostrophe as one pre-token.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SUFFIXES = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 
 
@@ -181,7 +182,10 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", blo
     `docs` must be dealt to tasks alike whenever it is read, as a scan of files is; where it
     isn't, this fails and says so. Repeated rows get a row each; other columns are not read.
     A block has about `block_bytes` of text: smaller ones need less memory and move more words.
+    Pre-tokens are cut for PATTERN; another `pattern` is an error, never wrong ids.
     """
+    if pattern != PATTERN:
+        raise ValueError(f"pre-tokens are cut for the pattern {PATTERN!r}, not for {pattern!r}")
     block_bytes = block_bytes or BLOCK_BYTES
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
