@@ -125,7 +125,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
     Rows of equal, non-null labels link when their cosine is at least `least`. Vectors that are
     null, zero, or hold null or non-finite components, and rows with null ids or labels, link with
     nothing: no links, and a component of their own. Vectors meet others of their length only.
-    Repeated rows are vectors of their own, which link. Other columns are not read.
+    Repeated rows are vectors of their own, which link. Components may be of any numeric type and are
+    compared in double precision. Other columns are not read.
+
+    A pair is found when its vectors share a filter. In simulation (64 dimensions, up to 1.5 million
+    vectors a label) 1 of 10,000 pairs exactly at 0.93 shared none; nothing finds a missed link afterwards.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "caps")
@@ -135,6 +139,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
     kinds = vectors.where(able).select(F.col(ident).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(column).alias("v"), *prints)
     kinds = kinds.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     kinds = scratch.table(kinds.withColumn("d", F.size("v")), "kinds")
+    placement = f"label string, d int, bucket long, rep long, copies long, v {kinds.schema['v'].dataType.simpleString()}"
     most = kinds.groupBy("label", "d").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     share = min(WIDEST, LOAD / most)
 
@@ -153,9 +158,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
                         [rows.column(c).take(at) for c in ("label", "d")] + [pa.array(np.concatenate(passed))] + [rows.column(c).take(at) for c in ("rep", "copies", "v")],
                         ["label", "d", "bucket", "rep", "copies", "v"])
 
-    placed = kinds.select("label", "d", "rep", "copies", "v").mapInArrow(place, "label string, d int, bucket long, rep long, copies long, v array<float>")
+    placed = kinds.select("label", "d", "rep", "copies", "v").mapInArrow(place, placement)
     key = ["label", "d", "bucket"]
-    slim = kinds.select("label", "d", "rep", "copies", "v").mapInArrow(place, "label string, d int, bucket long, rep long, copies long, v array<float>").select(*key)
+    slim = kinds.select("label", "d", "rep", "copies", "v").mapInArrow(place, placement).select(*key)
     large = scratch.table(slim.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "large")
     blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")

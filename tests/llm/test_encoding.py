@@ -74,6 +74,12 @@ def test_decode_keeps_null_and_rejects_unknown_ids(spark):
         bpe.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), RANKS).collect()
 
 
+def test_another_pattern_is_an_error(documents):
+    assert bpe.PATTERN == public_tokenizers.PATTERN
+    with pytest.raises(ValueError, match="pattern"):
+        bpe.encode(documents([(1, "a b", None, None)]), RANKS, r"\S+|\s+")
+
+
 def test_op1_whole_table(spark, folder):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     check(rows, queries.QUERIES["op1_bpe"](spark, folder).collect())
@@ -87,6 +93,26 @@ def test_sequences(values, shrink):
     back, end = T.Sequence.read(data + b"tail", 0)
     assert end == len(data) and (back.values() == values).all()
     assert [back.select(i) for i in range(len(values))] == values.tolist()
+    for i, j in [(0, 0), (0, 1), (len(values) // 3, len(values)), (len(values) // 2, len(values) // 2 + 70)]:
+        j = min(j, len(values))
+        assert back.between(i, j).tolist() == values[i:j].tolist()
+
+
+def test_documents_of_a_file_are_found_without_the_others(monkeypatch):
+    lengths = np.random.default_rng(1).integers(1, 40, 900)
+    ids = np.arange(lengths.sum())
+    data = T.pack([None] * 3 + list(range(-50, 847)), lengths, ids, 4)
+    monkeypatch.delattr(T.Sequence, "values")
+    decoded = []
+    between = T.Sequence.between
+    monkeypatch.setattr(T.Sequence, "between", lambda self, i, j: decoded.append(j - i) or between(self, i, j))
+    ends = np.cumsum(lengths)
+    for i, j in [(0, 2), (2, 5), (0, 900), (899, 900), (400, 464), (7, 7)]:
+        keys, cut, parts = T.documents(data, i, j)
+        assert keys == ([None] * 3 + list(range(-50, 847)))[i:j]
+        assert cut.tolist() == [0, *ends.tolist()][i : j + 1]
+        assert [p.tolist() for p in parts] == [ids[b - n : b].tolist() for b, n in zip(ends[i:j], lengths[i:j])]
+        assert max(decoded[-2:]) <= j - i + 1
 
 
 def test_sequences_are_small():
@@ -120,6 +146,7 @@ def test_op7_odd_texts_and_small_files(spark, documents, odd_texts, monkeypatch)
     monkeypatch.setattr(T, "FILE_IDS", 50)
     rows = [(10 - i, t, None, None) for i, t in enumerate(odd_texts)] + [(None, "no id", None, None)]
     manifest, folder = T.write_corpus(documents(rows), SPEC)
+    monkeypatch.setattr(T, "READ", 2)
     got = T.read(manifest, folder).selectExpr("doc_id", "start", "n_tokens", "crc32(ids)").collect()
     check_files(rows, got)
     assert manifest.count() > 1

@@ -119,6 +119,16 @@ def test_op9_large_buckets_are_cut(spark, vectors, monkeypatch):
     assert got(C.near_duplicates(frame(spark, vectors))) == links(vectors)
 
 
+def test_op9_double_components_keep_their_precision(spark):
+    """Two pairs on either side of the threshold, by less than single precision tells."""
+    rows = []
+    for i, cosine in enumerate((0.93 + 1e-9, 0.93 - 1e-9)):
+        u, w = np.eye(8)[2 * i], np.eye(8)[2 * i + 1]
+        rows += [(10 * i, u.tolist(), 1), (10 * i + 1, (cosine * u + math.sqrt(1 - cosine**2) * w).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert got(C.near_duplicates(df)) == [(0, 1, 0, True), (1, 1, 0, False), (10, 0, 10, True), (11, 0, 11, True)]
+
+
 def test_op9_null_ids_and_empty(spark, vectors):
     assert C.near_duplicates(frame(spark, [])).count() == 0
     row = C.near_duplicates(frame(spark, vectors[:5] + [(None, vectors[0][1], 0)])).where("vec_id IS NULL").first()
