@@ -36,7 +36,7 @@ DISCOUNT = 2
 TELLING = 4.0
 #: Part of every probability that both classes share, which bounds what one word can say.
 SHARED = 0.1
-WINDOW = 12
+WINDOW = 30
 THRESHOLD = 0.7
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
